@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import chat, mixing, token_files
 
 QUERIES = {
+    "op8_chat_format": chat.op8_chat_format,
+    "op9_token_files": token_files.op9_token_files,
     "op10_mixing": mixing.op10_mixing,
 }
 
