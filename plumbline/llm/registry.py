@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, token_files
+from . import chat, mixing, token_files, warc
 
 QUERIES = {
+    "op6_warc": warc.op6_warc,
     "op8_chat_format": chat.op8_chat_format,
     "op9_token_files": token_files.op9_token_files,
     "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_warc": warc.ORACLE,
+    "op8_chat_format": chat.ORACLE,
+}
