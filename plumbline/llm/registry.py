@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, token_files, warc
+from . import chat, mixing, ngram_join, token_files, warc
 
 QUERIES = {
     "op6_warc": warc.op6_warc,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_chat_format": chat.op8_chat_format,
     "op9_token_files": token_files.op9_token_files,
     "op10_mixing": mixing.op10_mixing,
