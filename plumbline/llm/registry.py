@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, ngram_join, token_files, warc
+from . import chat, decontaminate, mixing, ngram_join, token_files, toxicity, warc
 
 QUERIES = {
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op6_warc": warc.op6_warc,
     "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_chat_format": chat.op8_chat_format,
@@ -13,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_decontaminate": decontaminate.ORACLE,
     "op6_warc": warc.ORACLE,
     "op8_chat_format": chat.ORACLE,
 }
