@@ -34,7 +34,7 @@ from .storage import materialise
 LOOKALIKES = {"а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i"}
 DIGITS = {"0": "o", "1": "i", "l": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i"}
-STEM_LENGTHS = (4, 5, 6)
+STEM_LENGTHS = (3, 4, 5, 6, 7, 8, 9)
 
 
 class _Folding(dict):
@@ -87,12 +87,12 @@ class ToxicityParams:
 
 @dataclass
 class Lexicon:
-    """words and stems with weights, exception words, and the score's slope and offset."""
+    """words and stems with weights, exception words, and the score's slopes and offset."""
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
     exceptions: tuple[str, ...] = ()
-    slope: float = 0.0
+    slopes: tuple[float, float] = (0.0, 0.0)
     offset: float = -20.0
 
     def automaton(self):
@@ -111,11 +111,11 @@ class Lexicon:
         return found
 
 
-def density(text: str, automaton) -> float:
-    """Weight of the hits outside exceptions per 100 words; 0 for an empty text."""
-    folded = fold(text)
+def features(text: str, automaton) -> tuple[float, float]:
+    """Logs of 1 + the weight of hits outside exceptions per 100 words, and of 1 + their number."""
     if not len(automaton):
-        return 0.0
+        return 0.0, 0.0
+    folded = fold(text)
     hits, safe = {}, []
     for end, (size, weight) in automaton.iter(folded):
         start = end - size + 1
@@ -123,10 +123,11 @@ def density(text: str, automaton) -> float:
             hits[start] = max(weight, hits.get(start, 0.0))
         else:
             safe.append((start, end))
+    if safe:
+        hits = {at: w for at, w in hits.items() if not any(a <= at < b for a, b in safe)}
     if not hits:
-        return 0.0
-    total = sum(w for at, w in hits.items() if not any(a <= at < b for a, b in safe))
-    return 100 * total / (len(folded.split()) + 10)
+        return 0.0, 0.0
+    return math.log1p(100 * sum(hits.values()) / (len(folded.split()) + 10)), math.log1p(len(hits))
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,31 +147,38 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _densities(lexicon: Lexicon):
+def _measured(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in batches:
-            x = [density(t or "", automaton) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"x": pa.array(x, pa.float64()), "toxic": batch.column("toxic")})
+            x = np.array([features(t or "", automaton) for t in batch.column("text").to_pylist()], np.float64).reshape(-1, 2)
+            yield pa.RecordBatch.from_pydict({"x": pa.array(x[:, 0]), "k": pa.array(x[:, 1]), "toxic": batch.column("toxic")})
 
     return run
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float, float]:
-    """Slope and offset of a one-feature logistic regression by Newton steps."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[tuple[float, float], float]:
+    """Slopes (not below 0) and offset of a two-feature logistic regression, classes of equal weight, by Newton steps."""
     if not len(y) or y.min() == y.max():
-        return 0.0, -20.0 if not len(y) or not y.max() else 20.0
-    design, beta = np.column_stack([x, np.ones_like(x)]), np.zeros(2)
+        return (0.0, 0.0), -20.0
+    design = np.column_stack([x, np.ones(len(x))])
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) * len(y)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        gradient = design.T @ (weight * (y - p)) - ridge * beta
-        hessian = (design * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ design + ridge * np.eye(2)
-        step = np.linalg.solve(hessian, gradient)
-        beta += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
-            break
-    return max(0.0, float(beta[0])), float(beta[1])
+    free = [0, 1, 2]
+    while True:
+        part, beta = design[:, free], np.zeros(len(free))
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(part @ beta, -30, 30)))
+            gradient = part.T @ (weight * (y - p)) - ridge * beta
+            hessian = (part * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ part + ridge * np.eye(len(free))
+            step = np.linalg.solve(hessian, gradient)
+            beta += np.clip(step, -5, 5)
+            if np.abs(step).max() < 1e-8:
+                break
+        whole = np.zeros(3)
+        whole[free] = beta
+        if (whole[:2] >= 0).all():
+            return (float(whole[0]), float(whole[1])), float(whole[2])
+        free = [k for k in free if k == 2 or whole[k] > 0]
 
 
 def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = None) -> Lexicon:
@@ -210,24 +218,24 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = No
         clean = terms.filter((F.col("kind") == 0) & opened & (F.col("neg") / neg > F.col("pos") / pos))
         safe = [r.term for r in clean.orderBy(F.desc("neg"), "term").limit(p.max_entries).collect()]
     lexicon = Lexicon(words, stems, tuple(safe) + tuple(" ".join(fold(x).split()) for x in p.phrases))
-    rows = np.array([(r.x, r.toxic) for r in sample.mapInArrow(_densities(lexicon), "x double, toxic int").collect()])
-    lexicon.slope, lexicon.offset = fit_logistic(np.log1p(rows[:, 0]), rows[:, 1])
+    rows = np.array([tuple(r) for r in sample.mapInArrow(_measured(lexicon), "x double, k double, toxic int").collect()])
+    lexicon.slopes, lexicon.offset = fit_logistic(rows[:, :2], rows[:, 2])
     return lexicon
 
 
 def _stems(terms: DataFrame, strong: dict[str, tuple[int, float]], p: ToxicityParams) -> dict[str, float]:
-    """Strong stems that open enough words, without those that a longer or shorter one makes redundant."""
+    """Strong stems that open enough words; none opens another."""
     if not strong:
         return {}
     stem = F.explode(F.array(*[F.substring("term", 1, k) for k in STEM_LENGTHS])).alias("stem")
     opened = terms.filter("kind = 0 AND pos > 0").select("term", stem).filter(F.col("stem").isin(list(strong)) & (F.col("stem") != F.col("term")))
     many = {r.stem for r in opened.distinct().groupBy("stem").count().filter(F.col("count") >= p.stem_words).collect()}
     kept: dict[str, float] = {}
-    for s in sorted(many, key=lambda s: (-len(s), s)):  # longest first; a shorter one must reach clearly more documents
-        longer = sum(strong[t][0] for t in kept if t.startswith(s))
-        if longer == 0 or strong[s][0] > 1.2 * longer:
+    # purest and widest first; of nested stems with equal figures the longest
+    for s in sorted(many, key=lambda s: (-strong[s][1], -len(s), s)):
+        if not any(s.startswith(t) or t.startswith(s) for t in kept):
             kept[s] = strong[s][1]
-    return {s: w for s, w in kept.items() if not any(t != s and s.startswith(t) for t in kept)}
+    return kept
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -239,8 +247,8 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in batches:
-            x = np.array([density(t or "", automaton) for t in batch.column(at).to_pylist()], np.float64)
-            z = lexicon.slope * np.log1p(x) + lexicon.offset
+            x = np.array([features(t or "", automaton) for t in batch.column(at).to_pylist()], np.float64).reshape(-1, 2)
+            z = x @ np.array(lexicon.slopes) + lexicon.offset
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], [*names, "toxicity"])
 
     schema = docs.select(*names).schema.add("toxicity", "double")
