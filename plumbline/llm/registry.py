@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, ngram_join, token_files, toxicity, warc
+from . import chat, cover_tree, decontaminate, mixing, ngram_join, token_files, toxicity, warc
 
 QUERIES = {
+    "op1_cover_tree": cover_tree.op1_cover_tree,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_toxicity": toxicity.op3_toxicity,
     "op6_warc": warc.op6_warc,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_cover_tree": cover_tree.ORACLE,
     "op2_decontaminate": decontaminate.ORACLE,
     "op6_warc": warc.ORACLE,
     "op8_chat_format": chat.ORACLE,
