@@ -255,7 +255,7 @@ def near_duplicates(docs: DataFrame, params: JoinParams | None = None) -> DataFr
     texts = slim.filter("doc_id IS NOT NULL")
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
     tasks = (
-        members.join(texts, "doc_id")
+        members.hint("merge").join(texts, "doc_id")  # its size is not bounded: never a broadcast, at any scale
         .select("doc_id", "cluster", "part", "copies", "text", other)
         .select("doc_id", "cluster", "part", "copies", "text", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     )
