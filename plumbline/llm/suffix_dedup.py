@@ -391,7 +391,7 @@ def remove_repeats(docs: DataFrame, params: SuffixParams | None = None, with_tex
     open_at = repeated.filter("NOT covered").select("doc", shift, "pos").groupBy("doc", "copy").agg(F.collect_list("pos").alias("open"))
     open_at = materialise(open_at, "suffix-open")
     n_open = open_at.agg(F.sum(F.size("open"))).first()[0] or 0
-    with_open = texts.join(open_at, ["doc", "copy"])
+    with_open = texts.join(open_at.hint("merge"), ["doc", "copy"])  # sizes are not bounded: no broadcast
     # an open anchor has about 25 windows
     picked = open_at.filter(F.pmod(F.xxhash64(F.lit(9), "doc"), F.lit(1 << 20)) < max(1, int(min(1.0, p.sample / max(25 * n_open, 1)) * (1 << 20))))
     cuts = _sampled(texts.join(F.broadcast(picked.limit(p.sample)), ["doc", "copy"]), "doc", 1.0, p, _window_maker, WINDOW, ["h", "doc", "pos"], buckets)
@@ -414,7 +414,7 @@ def remove_repeats(docs: DataFrame, params: SuffixParams | None = None, with_tex
     merged = spans.repartition("doc", "copy").sortWithinPartitions("doc", "pos").mapInArrow(_merger(p), "doc long, copy int, spans binary")
     merged = materialise(merged, "suffix-spans")
     _release(spark)
-    joined = keyed.join(merged, ["doc", "copy"], "left").select("doc_id", "text", "spans")
+    joined = keyed.join(merged.hint("merge"), ["doc", "copy"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cutter(with_text), CUT + ", kept binary" * with_text)
 
 
