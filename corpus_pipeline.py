@@ -1,9 +1,83 @@
-"""Corpus pipeline: filled in once its five operators are in place."""
+"""Corpus pipeline: toxicity, n-gram Jaccard join, benchmark decontamination,
+mixing sources to target weights, token-ID / binary output.
 
-STAGES: list = []
+Each stage is ``(spark, docs, sf_dir) -> DataFrame``; :func:`run` writes its
+result as Parquet in the shared folder and rereads it for the next one.  All
+stages but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from plumbline.llm import decontaminate, mixing, ngram_join, storage, token_files, toxicity
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go; nulls and empty texts stay."""
+    labels = toxicity.training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs.select(*COLUMNS), toxicity.train(docs, labels))
+    return scored.filter(F.col("toxicity") < toxicity.ToxicityParams().threshold).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays, that with the smallest doc_id.
+
+    Empty texts and null ids form no class and stay; of repeated rows of one
+    doc_id and text one stays.
+    """
+    classes = ngram_join.near_duplicates(docs)
+    gone = classes.filter("class_id <> doc_id").select("doc_id").distinct()
+    kept = docs.select(*COLUMNS).join(gone.hint("merge"), "doc_id", "left_anti")
+    again = storage.materialise(docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "pipeline-ids")
+    if again.isEmpty():
+        return kept.select(*COLUMNS)
+    one = Window.partitionBy("doc_id", "text").orderBy("source", "lang", "n_chars")
+    several = kept.join(again, "doc_id", "left_semi").withColumn("k", F.row_number().over(one)).filter("k = 1").drop("k")
+    return kept.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(several.select(*COLUMNS))
+
+
+def drop_leaks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    leaks = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.select(*COLUMNS).join(leaks.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of the mix, one row per document that it takes from.
+
+    A document's text is what the mix takes of it: whole passes over the text,
+    then its drawn stretches, separated by line ends; a text that is taken
+    exactly once stays as it is.  Documents without words have nothing to mix
+    and documents outside the drawn blocks are left out.
+    """
+    return mixing.mixed_documents(docs.select(*COLUMNS))
+
+
+def write_tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of all documents; per document (doc_id, start, n_tokens, ids_crc32) as read back."""
+    folder = storage.fresh_path(spark, "pipeline-tokens")
+    return token_files.read_tokens(token_files.write_tokens(docs, folder), folder)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_join", drop_near_duplicates),
+    ("decontaminate", drop_leaks),
+    ("mixing", mix_sources),
+    ("token_files", write_tokens),
+]
+
+#: The tokenizer and the seeded draws can't be told in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Applies the stages to documents."""
-    raise NotImplementedError
+def run(spark, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and reread."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = storage.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

@@ -181,6 +181,41 @@ def mix(docs: DataFrame, params: MixParams | None = None, keep: tuple[str, ...]
     return Mix(sources, placed, pieces, drawn)
 
 
+def mixed_documents(docs: DataFrame, params: MixParams | None = None) -> DataFrame:
+    """The mix as rows of ``docs``: one per document the mix takes from.
+
+    The text is the whole text as often as every stretch of it is drawn, then
+    each stretch as often as it is drawn beyond, in order, separated by line
+    ends; ``n_chars`` is made anew where ``docs`` has it.  Words keep their order,
+    white space inside a stretch becomes one space.
+    """
+    names = docs.columns
+    mixed = mix(docs, params, keep=tuple(names))
+    drawn = mixed.slots.groupBy("source_id", "block").agg(F.count(F.lit(1)).alias("times"))
+    stretch = F.struct("start", "n_words", F.coalesce("times", F.lit(0)).alias("times"))
+    # the stretches of one document: at most its words by the block length
+    taken = (
+        mixed.pieces.join(drawn, ["source_id", "block"], "left")
+        .groupBy("source_id", "bucket", "rn")
+        .agg(F.sort_array(F.collect_list(stretch)).alias("stretches"), F.sum("times").alias("drawn"))
+        .filter("drawn > 0")
+    )
+    whole = F.array_min(F.transform("stretches", lambda x: x.times)).cast("int")
+    text = F.col("keep_text")
+
+    def beyond(words: Column) -> Column:
+        repeats = F.transform("stretches", lambda x: F.array_repeat(F.array_join(F.slice(words, (x.start + 1).cast("int"), x.n_words.cast("int")), " "), (x.times - whole).cast("int")))
+        return F.flatten(repeats)
+
+    # the word array is bound once per row
+    rest = F.element_at(F.transform(F.array(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))), beyond), 1)
+    even = F.array_max(F.transform("stretches", lambda x: x.times)) == F.array_min(F.transform("stretches", lambda x: x.times))
+    parts = F.concat(F.array_repeat(text, whole), F.when(even, F.array().cast("array<string>")).otherwise(rest))
+    joined = mixed.docs.join(taken.hint("merge"), ["source_id", "bucket", "rn"]).withColumn("mixed_text", F.array_join(parts, "\n"))
+    made = {"text": F.col("mixed_text"), "n_chars": F.char_length("mixed_text").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return joined.select(*[made.get(c, F.col(f"keep_{c}")).alias(c) for c in names])
+
+
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     """Mix all of ``documents``; per document its size, its source's size and target, and the words taken."""
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
