@@ -337,9 +337,12 @@ def _cutter(with_text: bool):
 def _release(spark) -> None:
     """Let Spark delete the shuffle files of finished steps, which it does when the driver collects garbage."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the second collection finds what the first one's cleaning let go
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def _sampled(df: DataFrame, key: str, share: float, p: SuffixParams, maker, schema: str, names: list[str], buckets: int) -> list[np.ndarray]:
