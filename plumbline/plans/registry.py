@@ -1,13 +1,469 @@
-"""Registry of the reference-parity queries and their DuckDB twins."""
+"""Registry of the lookup engine's queries and their DuckDB twins.
+
+The driver's tables hold no addresses, so ``part`` serves as the dictionary
+(name p_name, city p_brand, type p_type, house p_size, id p_partkey) and
+suppliers ask for the part of their own key by a misspelt name.  Operator ids of
+the coverage list are named in each docstring.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import numerals, parsing, similarity, text
+from ..operators import decide as rules
+from ..operators import dialog, dims, evaluate, score, search
+from ..operators.features import with_features
+from .lookup import Lookup
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Register a function under its name, with its SQL twin."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the driver's tables."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``part`` as a dictionary."""
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("etalon_id"), F.col("p_brand").alias("city"), F.col("p_type").alias("street_type"),
+        F.col("p_name").alias("street"), F.col("p_size").cast("string").alias("house"), F.col("p_partkey").alias("seq"),
+    )
+
+
+def misspelt(name: Column, key: Column) -> Column:
+    """Deterministic noise: devoiced letters, and one letter lost on two keys of three."""
+    noisy = F.translate(name, "bdgz", "ptks")
+    at = (key % F.char_length(noisy)).cast("int")
+    return F.when(key % 3 == 0, noisy).otherwise(F.concat(F.substring(noisy, F.lit(1), at), F.substring(noisy, at + 2, F.char_length(noisy))))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier asks for the part of its own key."""
+    part = table(spark, sf_dir, "part")
+    s = table(spark, sf_dir, "supplier").join(part, F.col("s_suppkey") == F.col("p_partkey"))
+    return s.select(
+        F.col("s_suppkey").cast("string").alias("id"), F.lit("voice").alias("channel"), F.lit("").alias("raw"),
+        misspelt(F.col("p_name"), F.col("s_suppkey")).alias("slot_street_text"),
+        F.when(F.col("s_suppkey") % 13 == 0, "").otherwise(F.col("p_brand")).alias("slot_city_text"),
+        F.when(F.col("s_suppkey") % 7 == 0, "999").otherwise(F.col("p_size").cast("string")).alias("slot_house"),
+        F.lit("house").alias("asked_slot"), F.col("p_partkey").cast("string").alias("label"),
+    )
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placeholder until the lookup pipeline lands."""
-    return spark.read.parquet(f"{sf_dir}/part.parquet").limit(0)
+    """The whole lookup over the catalogue."""
+    return lookup_decisions(spark, sf_dir)
+
+
+# SQL pieces that several twins share
+_NORM = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\s/\-]|_', ' ', 'g'), '\s+', ' ', 'g'))"
+_NAMES = f"""names AS (SELECT name, CAST(row_number() OVER (ORDER BY name) - 1 AS INTEGER) AS name_id FROM (SELECT DISTINCT {_NORM.format("p_name")} AS name FROM part)),
+p AS (SELECT part.*, n.name_id, n.name, {_NORM.format("p_brand")} AS city_id FROM part JOIN names n ON n.name = {_NORM.format("part.p_name")})"""
+_NOISY = """CASE WHEN s_suppkey % 3 = 0 THEN translate(p_name, 'bdgz', 'ptks')
+  ELSE substr(translate(p_name, 'bdgz', 'ptks'), 1, CAST(s_suppkey % length(p_name) AS INT)) || substr(translate(p_name, 'bdgz', 'ptks'), CAST(s_suppkey % length(p_name) AS INT) + 2) END"""
+_GRAM_ROWS = """(SELECT k, g, count(*) AS tf FROM (
+  SELECT k, unnest(list_transform(range(1, length(pw) - n + 2), lambda i: substr(pw, i, n))) AS g FROM (
+    SELECT k, ' ' || w || ' ' AS pw, unnest(range(2, least(4, length(w) + 2) + 1)) AS n FROM (
+      SELECT k, unnest(string_split(t, ' ')) AS w FROM {0}) WHERE w <> '')) GROUP BY k, g)"""
+
+
+@query(f"WITH {_NAMES} SELECT name_id, name FROM names")
+def dict_names(spark, sf_dir):
+    """Sorted distinct normalised names with dense numbers."""
+    return dims.build(catalogue(spark, sf_dir)).names.select("name_id", "name")
+
+
+@query(f"""WITH {_NAMES} SELECT city_id || '||' || p_type || '||' || name_id AS street_id, CAST(p_size AS VARCHAR) AS house,
+CAST(max(p_partkey) AS VARCHAR) AS etalon_id FROM p GROUP BY ALL""")
+def dict_objects_houses(spark, sf_dir):
+    """A3, I4, K2, Q1: houses of each object, the last duplicate wins."""
+    return dims.build(catalogue(spark, sf_dir)).houses.select("street_id", "house", "etalon_id")
+
+
+@query(f"""WITH {_NAMES}, o AS (SELECT DISTINCT name_id, city_id, p_type FROM p), c AS (SELECT name_id, count(*) AS n_objects FROM o GROUP BY 1)
+SELECT name_id, n_objects, round(ln(1 + n_objects) / ln(1 + max(n_objects) OVER ()), 6) AS name_freq FROM c""")
+def name_freq(spark, sf_dir):
+    """A4, A5: objects per name and the log frequency."""
+    return dims.build(catalogue(spark, sf_dir)).names.select("name_id", "n_objects", F.round("name_freq", 6).alias("name_freq"))
+
+
+@query(f"""WITH d AS (SELECT item_id AS k, lower(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM benchmark), c AS {_GRAM_ROWS.format("d")},
+i AS (SELECT g, ln((1 + (SELECT count(*) FROM d)) / (1 + count(*))) + 1 AS idf FROM c GROUP BY g),
+w AS (SELECT k, g, tf * idf AS w FROM c JOIN i USING (g))
+SELECT k AS name_id, g AS gram, round(w / sqrt(sum(w * w) OVER (PARTITION BY k)), 6) AS weight FROM w""")
+def ngram_tfidf(spark, sf_dir):
+    """TF-IDF rows of character grams inside words, of all benchmark items."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("name_id"), F.regexp_replace("text", r"\s+", " ").alias("name"))
+    return dims.tf_idf(items)[0].select("name_id", "gram", F.round("weight", 6).alias("weight"))
+
+
+_TOP = f"""WITH {_NAMES}, q AS (SELECT DISTINCT {_NOISY} AS q FROM supplier JOIN part ON s_suppkey = p_partkey),
+nt AS (SELECT name_id AS k, name AS t FROM names), nc AS {_GRAM_ROWS.format("nt")},
+i AS (SELECT g, ln((1 + (SELECT count(*) FROM names)) / (1 + count(*))) + 1 AS idf FROM nc GROUP BY g),
+nw AS (SELECT k, g, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY k)) AS w FROM nc JOIN i USING (g)),
+qt AS (SELECT q AS k, q AS t FROM q), qc AS {_GRAM_ROWS.format("qt")},
+qw AS (SELECT k, g, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY k)) AS w FROM qc JOIN i USING (g)),
+cos AS (SELECT qw.k AS q, nw.k AS name_id, sum(qw.w * nw.w) AS ngram FROM qw JOIN nw ON qw.g = nw.g GROUP BY ALL),
+sing AS (SELECT t, array_to_string(list_filter(string_split(t, ''), lambda x, i: i = 1 OR x <> substr(t, i - 1, 1)), '') AS key FROM (SELECT q AS t FROM q UNION SELECT name FROM names)),
+s AS (SELECT q.q, n.name_id, n.name, 1 - levenshtein(q.q, n.name) / greatest(length(q.q), length(n.name)) AS lev,
+  1 - levenshtein(a.key, b.key) / greatest(length(a.key), length(b.key)) AS phon, coalesce(ngram, 0) AS ngram
+  FROM q CROSS JOIN names n JOIN sing a ON a.t = q.q JOIN sing b ON b.t = n.name LEFT JOIN cos c ON c.q = q.q AND c.name_id = n.name_id),
+top AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY greatest(lev, phon, ngram) DESC, name_id) AS name_rank FROM s QUALIFY name_rank <= 20)"""
+
+
+@query(f"{_TOP} SELECT q, name_id, round(lev, 6) AS lev, round(phon, 6) AS phon, round(ngram, 6) AS ngram FROM top WHERE name_rank <= 5")
+def nearest_names(spark, sf_dir):
+    """The five best names per query by three similarities."""
+    asked = requests(spark, sf_dir).select(F.col("slot_street_text").alias("q"))
+    found = search.nearest_names(asked, dims.build(catalogue(spark, sf_dir)), k=5)
+    return found.select("q", "name_id", *[F.round(c, 6).alias(c) for c in ("lev", "phon", "ngram")])
+
+
+@query()
+def token_set_similarity(spark, sf_dir):
+    """L3: token-set similarity of the kept names (insert-delete ratios are beyond SQL)."""
+    asked = requests(spark, sf_dir).select(F.col("slot_street_text").alias("q"))
+    found = search.nearest_names(asked, dims.build(catalogue(spark, sf_dir)))
+    return found.select("q", "name_id", F.round("token_set", 6).alias("token_set"))
+
+
+@query()
+def city_resolve(spark, sf_dir):
+    """Brands misspelt by nation keys against the dictionary's cities (weighted ratio is beyond SQL)."""
+    brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("q")).distinct()
+    noisy = brands.select("q").unionByName(brands.select(F.replace("q", F.lit("ra"), F.lit("ar")).alias("q")))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_name").alias("q"))
+    asked = noisy.unionByName(nations).withColumn("scope", F.lit(None).cast("array<string>"))
+    return search.resolve_cities(asked, dims.build(catalogue(spark, sf_dir))).select("q", "status", "city_id", F.round("score", 6).alias("score"))
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}\s]|_', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM documents""")
+def norm_text(spark, sf_dir):
+    """Case, punctuation and spaces of whole documents."""
+    t = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\s]|_", " ")
+    return table(spark, sf_dir, "documents").select("doc_id", text.collapse_spaces(t).alias("plain"))
+
+
+@query()
+def normalise_conversations(spark, sf_dir):
+    """Full normalisation of all conversation texts."""
+    d = text.normalised(table(spark, sf_dir, "conversations"), "text", "webchat")
+    return d.select("conv_id", "turn", F.col("norm.text").alias("norm_text"), F.col("norm.truncated").alias("truncated"), F.col("norm.ambiguous").alias("ambiguous"))
+
+
+_SPOKEN = [("сто шестьдесят три", "163", False), ("два к два", "2к2", False), ("три сто", "3 100", True), ("сорок восемь короче бэ", "48Б", False), ("горькогосто шестьдесят три", "горького 163", False), ("пятнадцать два", "17", False)]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {str(c).lower()})" for a, b, c in _SPOKEN) + ") t(raw, digits, ambiguous)")
+def spoken_numbers(spark, sf_dir):
+    """Number words and house tails."""
+    rows = spark.createDataFrame([(a,) for a, *_ in _SPOKEN], "raw string").withColumn("d", numerals.digits_udf("raw"))
+    return rows.select("raw", F.col("d.text").alias("digits"), F.col("d.ambiguous").alias("ambiguous"))
+
+
+_ADDRESSES = [("улица ленина 16/2", "улица", "ленина", "16к2", None), ("красноярск улица космонавтов 17а", "улица", "космонавтов", "17а", "красноярск"), ("шоссемосковское 5", "шоссе", "московское", "5", None), ("шахтеров 111", None, "шахтеров", "111", None)]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for r in _ADDRESSES) + ") t(raw, street_type, street, house, city_hint)")
+def address_slots(spark, sf_dir):
+    """Slots of normalised addresses."""
+    d = parsing.parsed(spark.createDataFrame([(r[0],) for r in _ADDRESSES], "raw string"), "raw")
+    return d.select("raw", *[F.col(f"parse.{c}").alias(c) for c in ("street_type", "street", "house", "city_hint")])
+
+
+@query(r"""WITH w AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part) WHERE length(w) >= 4),
+d AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM documents)
+SELECT DISTINCT doc_id FROM d WHERE w IN (SELECT w FROM w)""")
+def has_name(spark, sf_dir):
+    """Documents with a word of four letters or more of some name, as a semi-join."""
+    names = dims.build(catalogue(spark, sf_dir)).name_words
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("word"))
+    return words.join(names, "word", "left_semi").select("doc_id").distinct()
+
+
+def _pairs(spark, sf_dir) -> DataFrame:
+    """Request-object pairs with similarities that SQL has too: token_set stands in as the gram cosine."""
+    d = dims.build(catalogue(spark, sf_dir))
+    asked = requests(spark, sf_dir).withColumnRenamed("slot_street_text", "q")
+    names = search.nearest_names(asked.select("q"), d).withColumn("token_set", F.col("ngram"))
+    city = text.collapse_spaces(F.regexp_replace(F.lower("slot_city_text"), "#", " "))
+    asked = asked.join(names, "q").withColumn("status", F.when(F.col("slot_city_text") == "", "none").otherwise("resolved")).withColumn("city_resolved", city)
+    found = search.expand_objects(asked.withColumn("objects_scope", F.lit(None).cast("array<string>")), d)
+    held = d.houses.select("street_id", F.col("house").alias("slot_house"), F.col("etalon_id").alias("matched_id"))
+    pairs = found.join(held, ["street_id", "slot_house"], "left").withColumn("asked_type", F.lit(None).cast("string")).withColumn("parsed_house", F.lit(None).cast("string"))
+    return with_features(pairs)
+
+
+_FEATURES = f"""{_TOP},
+r AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, {_NOISY} AS q, CASE WHEN s_suppkey % 13 = 0 THEN '' ELSE {_NORM.format("p_brand")} END AS city,
+  CASE WHEN s_suppkey % 7 = 0 THEN '999' ELSE CAST(p_size AS VARCHAR) END AS house FROM supplier JOIN part ON s_suppkey = p_partkey),
+o AS (SELECT name_id, city_id, p_type, min(p_partkey) AS obj_seq FROM p GROUP BY ALL),
+h AS (SELECT name_id, city_id, p_type, CAST(p_size AS VARCHAR) AS house, CAST(max(p_partkey) AS VARCHAR) AS matched_id FROM p GROUP BY ALL),
+fr AS (SELECT name_id, ln(1 + count(*)) / ln(1 + max(count(*)) OVER ()) AS name_freq FROM o GROUP BY name_id),
+f AS (SELECT r.id, r.city, top.*, o.city_id, o.p_type, o.obj_seq, name_freq, matched_id,
+  CASE WHEN r.city = '' THEN 0.5 WHEN r.city = o.city_id THEN 1.0 ELSE 0.0 END AS city_match, CAST(matched_id IS NOT NULL AS DOUBLE) AS house_in_list,
+  0.35 * lev + 0.35 * phon + 0.3 * ngram AS street_sim
+  FROM r JOIN top ON top.q = r.q JOIN o USING (name_id) JOIN fr USING (name_id)
+  LEFT JOIN h ON h.name_id = o.name_id AND h.city_id = o.city_id AND h.p_type = o.p_type AND h.house = r.house)"""
+
+
+@query(f"""{_FEATURES}, b AS (SELECT *, max(greatest(lev, phon, ngram)) OVER (PARTITION BY id) AS best FROM f),
+c AS (SELECT *, sum(CASE WHEN best - greatest(lev, phon, ngram) <= 0.05 THEN 1.0 ELSE 0 END) OVER (PARTITION BY id) AS n_close FROM b)
+SELECT id, city_id || '||' || p_type || '||' || name_id AS street_id, city_match, house_in_list, round(street_sim, 6) AS street_sim, round(name_freq * city_match, 6) AS freq_x_city,
+round(street_sim * house_in_list, 6) AS sim_x_house, CAST(n_close AS DOUBLE) AS n_close FROM c""")
+def object_features(spark, sf_dir):
+    """Features of request-object pairs."""
+    return _pairs(spark, sf_dir).select(
+        "id", "street_id", "city_match", "house_in_list", *[F.round(c, 6).alias(c) for c in ("street_sim", "freq_x_city", "sim_x_house")], "n_close"
+    )
+
+
+_Z = "-4 + 6 * street_sim + 2.5 * house_in_list + 1.5 * city_match + 0.35 - 0.8 + 0.3 * (name_freq * city_match + name_freq * phon + lev)"
+
+
+@query(f"""{_FEATURES}, sc AS (SELECT *, 1 / (1 + exp(-({_Z}))) AS p FROM f)
+SELECT id, city_id || '||' || p_type || '||' || name_id AS street_id, round(p, 6) AS p FROM sc
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(p, 9) DESC, city_match DESC, name_rank, obj_seq) <= 3""")
+def manual_score(spark, sf_dir):
+    """Manual score and the three best objects per request."""
+    d = _pairs(spark, sf_dir).withColumn("p", score.ManualRanker().score())
+    order = Window.partitionBy("id").orderBy(F.desc(F.round("p", 9)), F.desc("city_match"), "name_rank", "obj_seq")
+    return d.withColumn("rn", F.row_number().over(order)).filter("rn <= 3").select("id", "street_id", F.round("p", 6).alias("p"))
+
+
+_MODEL = {"coef": [2.0, -0.5, 1.5], "intercept": -1.0, "feature_names": ["street_sim", "name_freq", "city_match"], "freq_median": 0.5,
+          "global_calibrator": {"type": "isotonic", "x": [0.1, 0.3, 0.5, 0.8], "y": [0.05, 0.2, 0.55, 0.9]},
+          "strata_calibrators": {"voice|freq_high|resolved": {"type": "platt", "a": 2.0, "b": -0.5}, "webchat|freq_low|unresolved": {"type": "identity"}}}
+
+
+@query("""WITH e AS (SELECT event_id, (event_id % 2)::DOUBLE AS channel_voice, least(value, 100) / 100 AS street_sim, (user_id % 10) / 10.0 AS name_freq,
+  CASE event_id % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 ELSE 0.0 END AS city_match FROM events),
+z AS (SELECT *, 2.0 * street_sim - 0.5 * name_freq + 1.5 * city_match - 1.0 AS z FROM e), p AS (SELECT *, 1 / (1 + exp(-z)) AS p,
+  CASE WHEN channel_voice > 0.5 THEN 'voice' ELSE 'webchat' END || CASE WHEN name_freq > 0.5 THEN '|freq_high' ELSE '|freq_low' END || CASE WHEN city_match <> 0.5 THEN '|resolved' ELSE '|unresolved' END AS stratum FROM z)
+SELECT event_id, stratum, round(CASE WHEN stratum = 'voice|freq_high|resolved' THEN 1 / (1 + exp(-(2 * z - 0.5))) WHEN stratum = 'webchat|freq_low|unresolved' THEN p
+  WHEN p <= 0.1 THEN 0.05 WHEN p < 0.3 THEN 0.05 + (p - 0.1) * 0.15 / 0.2 WHEN p < 0.5 THEN 0.2 + (p - 0.3) * 0.35 / 0.2 WHEN p < 0.8 THEN 0.55 + (p - 0.5) * 0.35 / 0.3 ELSE 0.9 END, 6) AS p FROM p""")
+def calibrated_score(spark, sf_dir):
+    """Trained score with stratum calibrators, over all events as feature rows."""
+    key = F.col("event_id")
+    city = F.when(key % 3 == 0, 0.5).when(key % 3 == 1, 1.0).otherwise(0.0)
+    d = table(spark, sf_dir, "events").select("event_id", (key % 2).cast("double").alias("channel_voice"), (F.least("value", F.lit(100.0)) / 100).alias("street_sim"), (F.col("user_id") % 10 / 10).alias("name_freq"), city.alias("city_match"))
+    return d.select("event_id", score.stratum(_MODEL["freq_median"]).alias("stratum"), F.round(score.TrainedRanker(_MODEL).score(), 6).alias("p"))
+
+
+def _ranked_parts(spark, sf_dir) -> DataFrame:
+    """Per supplier, the parts of one brand as ranked objects with made-up scores."""
+    s, p = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part")
+    d = s.join(p, F.col("p_brand") == F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 25 + 1).cast("string")))
+    key = F.col("p_partkey")
+    d = d.select(
+        F.col("s_suppkey").alias("id"), key.cast("string").alias("street_id"), (F.col("p_size") % 5).alias("name_id"), F.col("p_name").alias("name"), F.col("p_type").alias("city_id"),
+        F.col("p_type").alias("city_name"), F.lit("").alias("street_type"), ((key * 37 + F.col("s_suppkey") * 11) % 1000 / 1000).alias("p"), (F.col("p_size") / 50).alias("name_freq"),
+        (key % 100 / 100).alias("street_sim"), F.when(key % 4 == 0, key.cast("string")).alias("matched_id"),
+        F.array(F.struct(F.lit("1").alias("house"), F.concat(F.lit("a"), key.cast("string")).alias("etalon_id")), F.struct(F.lit("2").alias("house"), F.concat(F.lit("b"), key.cast("string")).alias("etalon_id"))).alias("top_houses"),
+        F.lit(0.5).alias("city_match"), F.lit(1).alias("name_rank"), key.alias("obj_seq"), "s_nationkey",
+    )
+    r = rules.ranked(d)
+    return s.select(F.col("s_suppkey").alias("id"), "s_nationkey").join(r, "id", "left").select(
+        "id", "r", F.when(F.col("s_nationkey") % 3 == 0, "resolved").otherwise("none").alias("status"), (F.col("s_nationkey") % 5 != 0).alias("has_cues"),
+        F.lit(False).alias("ambiguous"), F.when(F.col("s_nationkey") % 10 == 0, "house").alias("asked_slot"), F.lit("7").alias("house_norm"),
+    )
+
+
+_DECIDED = """WITH o AS (SELECT s_suppkey AS id, p_partkey, CAST(p_partkey AS VARCHAR) AS street_id, p_size % 5 AS name_id, p_type AS city_id, (p_partkey * 37 + s_suppkey * 11) % 1000 / 1000 AS p,
+  p_size / 50 AS freq, p_partkey % 100 / 100 AS sim, CASE WHEN p_partkey % 4 = 0 THEN street_id END AS matched_id,
+  row_number() OVER (PARTITION BY s_suppkey ORDER BY p DESC, p_partkey) AS rn
+  FROM supplier JOIN part ON p_brand = 'Brand#' || (s_suppkey % 25 + 1)),
+m AS (SELECT id, median(freq) AS mid FROM o GROUP BY id),
+l AS (SELECT o.*, mid FROM o JOIN m USING (id) WHERE rn = 1),
+c AS (SELECT o.id, o.city_id, min(o.rn) AS rn FROM o JOIN l ON o.id = l.id AND o.name_id = l.name_id GROUP BY ALL),
+n AS (SELECT id, count(*) AS cities FROM c GROUP BY id),
+k AS (SELECT c.id, list(coalesce(o.matched_id, 'a' || o.street_id) ORDER BY c.rn) AS ids, list(o.p ORDER BY c.rn) AS ps
+  FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY rn) <= 3) c JOIN o ON o.id = c.id AND o.rn = c.rn GROUP BY c.id),
+d AS (SELECT s_suppkey AS id, l.*, o2.street_id AS s2, o2.p AS p2, k.ids, k.ps, s_nationkey % 3 = 0 AS known, s_nationkey % 5 <> 0 AS cues, s_nationkey % 10 = 0 AS asked, cities
+  FROM supplier LEFT JOIN l ON l.id = s_suppkey LEFT JOIN n ON n.id = s_suppkey LEFT JOIN k ON k.id = s_suppkey LEFT JOIN o o2 ON o2.id = s_suppkey AND o2.rn = 2),
+r AS (SELECT *, CASE WHEN NOT cues AND NOT asked THEN 1 WHEN p IS NOT NULL AND NOT known AND cities > 1 AND freq >= mid AND (sim >= 0.75 OR p >= 0.6) THEN 2
+  WHEN p >= 0.6 AND matched_id IS NOT NULL THEN 4 WHEN p >= 0.6 AND known THEN 3 WHEN known AND cues THEN 5 ELSE 6 END AS rule FROM d),
+x AS (SELECT id, rule, CASE rule WHEN 2 THEN 'ask_city' WHEN 3 THEN 'ask_house' WHEN 4 THEN CASE WHEN p >= 10 / 11 THEN 'answer' WHEN p >= 1 - 1 / 7.0 THEN 'answer_soft' ELSE 'confirm' END WHEN 5 THEN 'ask_street' ELSE 'reject' END AS decision,
+  CASE rule WHEN 2 THEN ids WHEN 3 THEN ['a' || street_id, 'b' || street_id] WHEN 4 THEN [matched_id, 'a' || street_id, 'b' || street_id] ELSE [] END AS cand,
+  CASE rule WHEN 2 THEN ps WHEN 3 THEN [p, p] WHEN 4 THEN [p, p * 0.8, p * 0.8] ELSE [] END AS sc FROM r)"""
+
+
+@query(f"{_DECIDED} SELECT id, rule, decision, array_to_string(cand, ',') AS candidates, round(coalesce(list_sum(sc), 0), 6) AS score_sum FROM x")
+def decision_cascade(spark, sf_dir):
+    """Rules and projections over ranked objects."""
+    d = rules.decide(_ranked_parts(spark, sf_dir))
+    total = F.aggregate("scores", F.lit(0.0), lambda a, x: a + x)
+    return d.select("id", "rule", "decision", F.array_join("candidates", ",").alias("candidates"), F.round(total, 6).alias("score_sum"))
+
+
+@query(f"""{_DECIDED} SELECT decision, count(*) FILTER (id % 5 <> 0) AS positive, count(*) FILTER (id % 5 = 0) AS negative FROM x GROUP BY decision""")
+def decision_pivot(spark, sf_dir):
+    """A10: decisions of positives and negatives."""
+    d = rules.decide(_ranked_parts(spark, sf_dir)).withColumn("label", F.when(F.col("id") % 5 != 0, F.col("id").cast("string")))
+    return evaluate.decision_counts(d.select("decision", "label"))
+
+
+@query()
+def lookup_decisions(spark, sf_dir):
+    """F1, F2, E7, S2 and all of the above: the whole lookup, suppliers against the catalogue."""
+    asked = requests(spark, sf_dir)
+    out = Lookup(catalogue(spark, sf_dir)).match(asked)
+    return out.select("id", "decision", "rule", "candidates", F.transform("scores", lambda x: F.round(x, 6)).alias("scores"), "missing_slot", "leader_street_id")
+
+
+@query()
+def dialog_turn2(spark, sf_dir):
+    """Asked-for houses and cities are answered in a second turn."""
+    look, asked = Lookup(catalogue(spark, sf_dir)), requests(spark, sf_dir)
+    first = look.match(asked).select("id", "decision", "leader_street_id", "leader_city_id").join(asked.select("id", "channel", "raw"), "id")
+    part = table(spark, sf_dir, "part")
+    truth = part.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_size").cast("string").alias("true_house"), text.collapse_spaces(F.regexp_replace(F.lower("p_brand"), "#", " ")).alias("true_city_id"))
+    turn = dialog.second_turn(first, truth).persist()
+    again = turn.join(asked.select("id", "slot_street_text", "label"), "id").withColumn("slot_street_text", F.when(F.col("asked_slot") == "city", F.col("slot_street_text"))).withColumn("slot_house", F.when(F.col("asked_slot") == "city", F.lit(None)).otherwise(F.col("raw")))
+    second = look.match(again).select("id", "decision", "candidates").join(turn.select("id", "first_decision"), "id").join(asked.select("id", "label"), "id")
+    return dialog.dialogue_rates(second)
+
+
+_EVAL = """WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS label, o_totalprice / 1000 AS ms,
+  CASE o_orderkey % 4 WHEN 0 THEN [] WHEN 1 THEN [CAST(o_custkey AS VARCHAR)] WHEN 2 THEN ['x', 'y', CAST(o_custkey AS VARCHAR)] ELSE ['x', 'y', 'z'] END AS cand,
+  CASE WHEN o_orderpriority LIKE '1%' THEN 'answer' WHEN o_orderpriority LIKE '2%' THEN 'answer_soft' ELSE 'confirm' END AS decision FROM orders)"""
+_METRICS = """SELECT count(*) AS n, count(label) AS n_positive, count(*) - count(label) AS n_negative,
+  round(coalesce(count(*) FILTER (cand[1] = label) / nullif(count(label), 0), 0), 6) AS top1,
+  round(coalesce(count(*) FILTER (list_contains(cand[1:3], label)) / nullif(count(label), 0), 0), 6) AS top3,
+  round(coalesce(count(*) FILTER (len(cand) = 0 AND label IS NULL) / nullif(count(*) FILTER (len(cand) = 0), 0), 0), 6) AS reject_precision,
+  round(coalesce(count(*) FILTER (len(cand) = 0 AND label IS NULL) / nullif(count(*) - count(label), 0), 0), 6) AS reject_recall,
+  round(quantile_cont(ms, 0.5), 6) AS ms_per_request_p50, round(quantile_cont(ms, 0.95), 6) AS ms_per_request_p95 FROM {0}"""
+
+
+def _judged(spark, sf_dir) -> DataFrame:
+    key, label = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    made = F.when(key % 4 == 0, F.array().cast("array<string>")).when(key % 4 == 1, F.array(label)).when(key % 4 == 2, F.array(F.lit("x"), F.lit("y"), label)).otherwise(F.array(F.lit("x"), F.lit("y"), F.lit("z")))
+    kind = F.when(F.col("o_orderpriority").startswith("1"), "answer").when(F.col("o_orderpriority").startswith("2"), "answer_soft").otherwise("confirm")
+    return table(spark, sf_dir, "orders").select(key.alias("id"), F.when(key % 5 != 0, label).alias("label"), (F.col("o_totalprice") / 1000).alias("ms"), made.alias("candidates"), kind.alias("decision"))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@query(_EVAL + _METRICS.format("r"))
+def eval_metrics(spark, sf_dir):
+    """The nine metrics over all orders as judged requests."""
+    return _rounded(evaluate.metrics(_judged(spark, sf_dir)))
+
+
+@query(_EVAL + ", s AS (SELECT * REPLACE (CASE WHEN decision LIKE 'answer%' THEN cand ELSE [] END AS cand) FROM r) " + _METRICS.format("s"))
+def strict_metrics(spark, sf_dir):
+    """Metrics where only answers count."""
+    return _rounded(evaluate.metrics(evaluate.strict(_judged(spark, sf_dir))))
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
+def latency_percentiles(spark, sf_dir):
+    """Exact interpolated percentiles per kind."""
+    q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95)))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(q[0], 6).alias("p50"), F.round(q[1], 6).alias("p95"))
+
+
+@query("""WITH r AS (SELECT lang AS stratum, least(n_chars, 9999) / 10000 AS p, CAST(toxic AS DOUBLE) AS y FROM documents JOIN labels USING (doc_id))
+SELECT stratum, CAST(least(floor(p * 10), 9) AS INTEGER) AS bin, count(*) AS n, round(avg(p), 6) AS mean_pred, round(avg(y), 6) AS frac_pos, round(abs(avg(p) - avg(y)), 6) AS abs_dev FROM r GROUP BY ALL""")
+def reliability_bins(spark, sf_dir):
+    """Reliability bins per stratum."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
+    rows = d.select(F.col("lang").alias("stratum"), (F.least("n_chars", F.lit(9999)) / 10000).alias("p"), F.col("toxic").cast("double").alias("y"))
+    return _rounded(evaluate.reliability(rows)[0])
+
+
+@query("""WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_quantity < 10 THEN 'top1_hit' WHEN l_quantity < 15 THEN 'rejected_positive' WHEN l_quantity < 20 THEN 'wrong_ranking'
+  WHEN l_quantity < 30 THEN CASE WHEN l_returnflag = 'A' THEN 'house_not_parsed' ELSE 'house_mismatch' END WHEN l_linestatus = 'O' THEN 'wrong_object' ELSE 'street_not_found' END AS class FROM lineitem)
+SELECT class, count(*) AS n, array_to_string(list(id ORDER BY id)[1:10], ',') AS examples FROM r GROUP BY class""")
+def error_classes(spark, sf_dir):
+    """Error classes of all line items as judged positives, with ten examples each."""
+    q, me = F.col("l_quantity"), F.lit("t")
+    made = F.when(q < 10, F.array(me)).when(q < 15, F.array().cast("array<string>")).when(q < 20, F.array(F.lit("a"), me)).otherwise(F.array(F.lit("a")))
+    d = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), made.alias("candidates"), me.alias("label"), (q < 30).alias("same_object"),
+        F.when(F.col("l_returnflag") == "A", F.lit(None)).otherwise(F.lit("1")).alias("parsed_house"), F.lit(False).alias("ambiguous"), (F.col("l_linestatus") == "O").alias("name_in_top3"),
+    )
+    rows = d.select("id", evaluate.positive_class().alias("class"), F.col("id").alias("seq"))
+    return evaluate.class_examples(rows).select("class", "n", F.array_join(F.transform("examples", lambda x: x.cast("string")), ",").alias("examples"))
+
+
+@query(r"""SELECT conv_id, turn, CASE WHEN NOT regexp_matches(text, '[0-9]') AND NOT contains(text, 'the') THEN 'type1' ELSE 'type2' END AS kind FROM conversations""")
+def negative_kinds(spark, sf_dir):
+    """P10: kind of a negative text."""
+    kind = evaluate.negative_kind(F.col("text"), F.when(F.col("text").contains("the"), F.lit("the")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", kind.alias("kind"))
+
+
+@query("""WITH c AS (SELECT l_partkey, count(*) AS c FROM lineitem GROUP BY 1), r AS (SELECT c, row_number() OVER (ORDER BY c DESC, l_partkey) AS i, sum(c) OVER (ORDER BY c DESC, l_partkey ROWS UNBOUNDED PRECEDING) AS cum, sum(c) OVER () AS tot FROM c)
+SELECT min(i) AS names_for_half, CAST(max(tot) AS BIGINT) AS total FROM r WHERE cum >= tot / 2""")
+def half_coverage(spark, sf_dir):
+    """How many of the most frequent part keys make half of all line items."""
+    counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("name")).agg(F.count(F.lit(1)).alias("c"))
+    return evaluate.half_coverage(counts).select(F.col("names_for_half").cast("long"), F.col("total").cast("long"))
+
+
+@query("SELECT p_name AS name, count(*) AS c FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 ORDER BY c DESC, name LIMIT 30")
+def top_names(spark, sf_dir):
+    """The thirty most frequent names (a top-k report)."""
+    d = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return d.groupBy(F.col("p_name").alias("name")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "name").limit(30)
+
+
+@query("""WITH r AS (SELECT o_orderkey % 4 AS k FROM orders) SELECT CAST(0 AS BIGINT) AS row_count_off, CAST(0 AS BIGINT) AS missing_fields, count(*) FILTER (k = 2) AS length_differs, count(*) FILTER (k = 3) AS too_many FROM r""")
+def preds_validate(spark, sf_dir):
+    """Broken rules of a predictions table."""
+    k = F.col("o_orderkey") % 4
+    ids = F.when(k == 3, F.array(*[F.lit(x) for x in "abcd"])).otherwise(F.array(F.lit("a"), F.lit("b")))
+    scores = F.when(k == 3, F.array(*[F.lit(0.5)] * 4)).when(k == 2, F.array(F.lit(0.5))).otherwise(F.array(F.lit(0.5), F.lit(0.4)))
+    orders = table(spark, sf_dir, "orders")
+    preds = orders.select(F.col("o_orderkey").cast("string").alias("id"), ids.alias("candidates"), scores.alias("scores"))
+    return evaluate.violations(preds, orders.count())
+
+
+@query(_EVAL + """ SELECT count(*) FILTER (decision LIKE 'answer%' AND NOT coalesce(cand[1] = label, false)) AS answer_errors,
+round(coalesce(count(*) FILTER (label IS NOT NULL AND decision LIKE 'answer%') / nullif(count(label), 0), 0), 6) AS coverage,
+round(coalesce(count(*) FILTER (label IS NULL AND len(cand) = 0) / nullif(count(*) FILTER (label IS NULL), 0), 1), 6) AS type2_reject_rate FROM r""")
+def training_gates(spark, sf_dir):
+    """Gates of a trained ranker."""
+    return _rounded(evaluate.gates(_judged(spark, sf_dir).withColumn("kind", F.lit("type2"))))
+
+
+@query("SELECT p_partkey, p_type = 'SMALL' AND p_size BETWEEN 5 AND 30 AS same FROM part")
+def predicates(spark, sf_dir):
+    """Scan-side predicates and object equality."""
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", ((F.col("p_type") == "SMALL") & F.col("p_size").between(5, 30)).alias("same"))
+
+
+@query("""WITH a AS (SELECT conv_id, list_sort(list_distinct(list(role))) AS roles FROM conversations GROUP BY 1)
+SELECT conv_id, array_to_string(roles, ',') AS roles, len(list_intersect(roles, ['user', 'system'])) AS held FROM a""")
+def set_operations(spark, sf_dir):
+    """Set algebra of 2.7: distinct, intersection and membership on arrays."""
+    d = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("roles"))
+    held = F.size(F.array_intersect("roles", F.array(F.lit("user"), F.lit("system"))))
+    return d.select("conv_id", F.array_join("roles", ",").alias("roles"), held.cast("long").alias("held"))
+
+
+@query(r"SELECT p_partkey, round(1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)), 6) AS lev FROM part")
+def edit_similarity(spark, sf_dir):
+    """L1: normalised edit similarity."""
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", F.round(similarity.edit_similarity(F.col("p_name"), F.col("p_type")), 6).alias("lev"))
