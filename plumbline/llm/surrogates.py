@@ -32,6 +32,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: First names by (script, gender), titles by gender, letter classes by script.
 FIRST_NAMES = {
@@ -365,7 +366,7 @@ def replace_pii(docs: DataFrame, params: PiiParams | None = None) -> DataFrame:
             columns += [pa.array([len(d[1]) for d in done], pa.int64()), pa.array([[f[2] for f in d[1]] for d in done], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, [*names, "n_entities", "kinds"])
 
-    schema = docs.select(*names).schema.add("n_entities", "long").add("kinds", "array<string>")
+    schema = T.StructType([*fields, T.StructField("n_entities", T.LongType()), T.StructField("kinds", T.ArrayType(T.StringType()))])
     return docs.select(*names).mapInArrow(run, schema)
 
 
