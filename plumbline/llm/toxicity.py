@@ -70,7 +70,9 @@ def fold(text: str) -> str:
 class ToxicityParams:
     """max_train: bound of the labelled rows used; min_share: least share of the
     toxic documents that a lexicon entry is in; min_docs: and least number;
-    min_weight: least log odds ratio; stem_words: words that a stem opens;
+    min_weight: least log odds ratio; min_evidence: least log likelihood ratio of
+    an entry against one shared share of toxic documents (10 is a chance of about
+    1 in 100,000), which keeps rare words of a small sample out; stem_words: words that a stem opens;
     max_entries: bound of the lexicon; phrases: exception phrases; threshold:
     least score of a toxic document."""
 
@@ -78,6 +80,7 @@ class ToxicityParams:
     min_share: float = 0.01
     min_docs: int = 3
     min_weight: float = 3.0
+    min_evidence: float = 10.0
     stem_words: int = 4
     max_entries: int = 5_000
     phrases: tuple[str, ...] = ()
@@ -206,7 +209,9 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = No
     )
     weight = F.log((F.col("pos") + p.prior) / (pos + 1)) - F.log((F.col("neg") + p.prior) / (neg + 1))
     least = max(p.min_docs, math.ceil(p.min_share * pos))
-    strong = terms.withColumn("w", weight).filter((F.col("pos") >= least) & (F.col("w") >= p.min_weight))
+    seen, share = F.col("pos") + F.col("neg"), pos / (pos + neg)
+    evidence = sum(F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (seen * q))).otherwise(0.0) for c, q in (("pos", share), ("neg", 1 - share)))
+    strong = terms.withColumn("w", weight).filter((F.col("pos") >= least) & (F.col("w") >= p.min_weight) & (evidence >= p.min_evidence))
     entries = strong.orderBy(F.desc("w"), "term").limit(p.max_entries).collect()
     stems = _stems(terms, {r.term: (r.pos, r.w) for r in entries if r.kind == 1}, p)
     words = {r.term: r.w for r in entries if r.kind == 0 and not any(r.term.startswith(s) for s in stems)}
