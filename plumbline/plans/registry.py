@@ -335,7 +335,7 @@ def dialog_turn2(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     truth = part.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_size").cast("string").alias("true_house"), text.collapse_spaces(F.regexp_replace(F.lower("p_brand"), "#", " ")).alias("true_city_id"))
     turn = dialog.second_turn(first, truth).persist()
-    again = turn.join(asked.select("id", "slot_street_text", "label"), "id").withColumn("slot_street_text", F.when(F.col("asked_slot") == "city", F.col("slot_street_text"))).withColumn("slot_house", F.when(F.col("asked_slot") == "city", F.lit(None)).otherwise(F.col("raw")))
+    again = turn.join(asked.select("id", "slot_street_text", F.col("slot_house").alias("own_house")), "id").withColumn("slot_street_text", F.when(F.col("asked_slot") == "city", F.col("slot_street_text"))).withColumn("slot_house", F.when(F.col("asked_slot") == "city", F.col("own_house")).otherwise(F.col("raw")))
     second = look.match(again).select("id", "decision", "candidates").join(turn.select("id", "first_decision"), "id").join(asked.select("id", "label"), "id")
     return dialog.dialogue_rates(second)
 
