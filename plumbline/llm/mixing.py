@@ -167,10 +167,12 @@ def mix(docs: DataFrame, params: MixParams | None = None, keep: tuple[str, ...]
     )
     total = sources.agg(F.sum("slots")).first()[0] or 0
     shards = max(1, -(-total // p.shard_blocks))
-    # slots in runs of 1024, so that no row carries a long array
+    # slots in runs of 1024, so that no row carries a long array; the runs are few bytes but much
+    # work, so they are dealt to a number of tasks that grows with the slots and is not coalesced
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // 100_000)
     runs = sources.filter("slots > 0").select("source_id", "blocks", "slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / 1024))).alias("run"))
     drawn = (
-        runs.repartition("source_id", "run")
+        runs.repartition(tasks, "source_id", "run")
         .select("source_id", "blocks", F.explode(F.sequence(F.col("run") * 1024, F.least(F.col("run") * 1024 + 1023, F.col("slots") - 1))).alias("j"))
         .withColumn("epoch", F.floor(F.col("j") / F.col("blocks")))
         .withColumn("shard", F.pmod(F.xxhash64(F.lit(p.seed + 2), "source_id", "j"), F.lit(shards)))
