@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 NGRAM = 5
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _rng = np.random.default_rng(20240607)
