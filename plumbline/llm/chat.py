@@ -1,11 +1,12 @@
 """Chat formatting by prefix-target expansion, in DataFrame operations only.
 
 Every assistant turn becomes an example of its own: all turns before it are
-context, its reply alone is trainable.  Examples are stored prefix-shared: an
-example row holds the formatted turns since the previous assistant turn
-(``delta``) and its ``reply``; its context is every earlier example's delta and
-reply followed by its own delta (:func:`prompts` spells that out).  The stored
-size is that of the conversation, not its square.
+context, its reply alone is trainable.  :func:`format_examples` cuts a
+conversation into the formatted turns since the previous assistant turn
+(``delta``) and the ``reply``; :func:`expand` writes every example out with its
+whole context and a loss mask over the reply, so the stored size is that of all
+prefixes.  :func:`read_examples` reads them back and raises where a context is
+not the text of the example before it.
 
 Template, one turn after another::
 
@@ -19,8 +20,8 @@ the text exactly.
 Nulls: a null text is an empty text and a null role an empty role; rows with
 a null turn come first, ties in ``turn`` are ordered by role and text; rows of
 a null conv_id form one conversation.  Turns after the last assistant turn
-make a last row without a reply, which is not an example but keeps the
-conversation whole.  An empty table gives no rows.
+make a last row without a reply (and with a null mask), which is not an example
+but keeps the conversation whole.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -86,18 +87,62 @@ def format_examples(turns: DataFrame) -> DataFrame:
     )
 
 
-def prompts(examples: DataFrame) -> DataFrame:
-    """Each example spelled out: (conv_id, example, prompt, target).
+def expand(examples: DataFrame) -> DataFrame:
+    """Each row of :func:`format_examples` written out: (conv_id, example, text, new_from, loss_from, loss_to).
 
-    The output is as long as the sum of all prefixes, which for a conversation
-    of n turns is of the order of n squared; use it on what a trainer reads.
+    ``text`` is the whole context, the reply and its end mark; the loss mask is
+    its characters [loss_from, loss_to), and those from ``new_from`` on are not
+    in the row before.  The output is as long as the sum of all prefixes, which
+    for a conversation of n turns is of the order of n squared.
     """
     whole = F.concat("delta", F.coalesce(F.concat("reply", F.lit(TURN_END)), F.lit("")))
-    before = Window.partitionBy("conv_id").orderBy("example").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        examples.withColumn("prompt", F.concat(F.array_join(F.collect_list(whole).over(before), ""), "delta"))
-        .filter("reply IS NOT NULL")
-        .select("conv_id", "example", "prompt", F.concat("reply", F.lit(TURN_END)).alias("target"))
+    upto = Window.partitionBy("conv_id").orderBy("example").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.when(F.col("reply").isNotNull(), F.col("context_chars"))
+    return examples.select(
+        "conv_id",
+        "example",
+        F.array_join(F.collect_list(whole).over(upto), "").alias("text"),
+        (F.col("context_chars") - F.char_length("delta")).alias("new_from"),
+        start.alias("loss_from"),
+        (start + F.char_length("reply")).alias("loss_to"),
+    )
+
+
+def _cut(start: Column, end: Column) -> Column:
+    """Characters [start, end) of ``text``."""
+    return F.substring(F.col("text"), start + F.lit(1), end - start)
+
+
+def prompts(examples: DataFrame) -> DataFrame:
+    """The expanded examples as (conv_id, example, prompt, target)."""
+    return expand(examples).filter("loss_from IS NOT NULL").select(
+        "conv_id",
+        "example",
+        _cut(F.lit(0), F.col("loss_from")).alias("prompt"),
+        _cut(F.col("loss_from"), F.char_length("text")).alias("target"),
+    )
+
+
+def read_examples(expanded: DataFrame) -> DataFrame:
+    """(conv_id, example, delta, reply) of the rows of :func:`expand`, by their masks."""
+    return expanded.select(
+        "conv_id",
+        "example",
+        _cut(F.col("new_from"), F.coalesce("loss_from", F.char_length("text"))).alias("delta"),
+        _cut(F.col("loss_from"), F.col("loss_to")).alias("reply"),
+    )
+
+
+def whole_lengths(expanded: DataFrame) -> DataFrame:
+    """(conv_id, formatted_chars): length of the last row's text; an error where a row's context isn't the text of the row before."""
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    link = F.struct("example", sha(_cut(F.lit(0), F.col("new_from"))).alias("context"), sha(F.col("text")).alias("whole"), F.char_length("text").alias("chars"))
+    links = F.sort_array(F.collect_list(link))
+    ahead = F.concat(F.array(sha(F.lit(""))), F.transform("links", lambda x: x.whole))
+    good = F.forall("links", lambda x: x.context == F.get(ahead, x.example.cast("int")))
+    chars = F.element_at("links", -1).chars.cast("long")
+    return expanded.groupBy("conv_id").agg(links.alias("links")).select(
+        "conv_id", F.when(good, chars).otherwise(F.raise_error(F.lit("an example lacks the turns before it")).cast("long")).alias("formatted_chars")
     )
 
 
@@ -117,13 +162,13 @@ def read_turns(examples: DataFrame) -> DataFrame:
 
 
 def op8_chat_format(spark, sf_dir: str) -> DataFrame:
-    """Format all conversations and the probe, write, read back and digest per conversation."""
+    """Expand all conversations and the probe, write every example, read back and digest per conversation."""
     schema = "conv_id long, turn long, role string, text string"
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in schema.split(", ")])
-    written = materialise(format_examples(rows.unionByName(spark.createDataFrame(PROBE, schema))), "chat")
-    whole = F.concat("delta", F.coalesce(F.concat("reply", F.lit(TURN_END)), F.lit("")))
-    lengths = written.groupBy("conv_id").agg(F.sum(F.char_length(whole)).cast("long").alias("formatted_chars"))
-    turns = read_turns(written)
+    # zstd finds what examples share beyond the reach of the default codec
+    written = materialise(expand(format_examples(rows.unionByName(spark.createDataFrame(PROBE, schema)))), "chat", compression="zstd")
+    lengths = whole_lengths(written)
+    turns = read_turns(read_examples(written))
     row = F.struct("example", "k", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("line"), F.when(F.col("trainable"), F.col("text")).alias("loss"))
     joined = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
     said = F.array_join(F.transform("rows", lambda x: x.line), "")

@@ -269,6 +269,23 @@ def test_chat(spark):
     assert chat.format_examples(frame.limit(0)).count() == 0
 
 
+def test_chat_query_writes_whole_contexts(spark, tmp_path, monkeypatch):
+    rows = [(1, k, ("user", "assistant")[k % 2], f"<{k}>") for k in range(7)] + [(2, 0, "user", "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    written = []
+    keep = chat.materialise
+    monkeypatch.setattr(chat, "materialise", lambda *a, **b: written.append(keep(*a, **b)) or written[-1])
+    out = {r.conv_id: r for r in chat.op8_chat_format(spark, str(tmp_path)).collect()}
+    form = [f"<|{r}|>\n\\l{k}><|end|>\n" for _, k, r, _ in rows[:7]]
+    got = {r.example: r for r in written[0].filter("conv_id = 1").collect()}
+    assert [got[k].text for k in range(4)] == ["".join(form[:n]) for n in (2, 4, 6, 7)]
+    assert [got[k].text[got[k].loss_from : got[k].loss_to] for k in range(3)] == ["\\l1>", "\\l3>", "\\l5>"] and got[3].loss_from is None
+    assert out[1].formatted_chars == len("".join(form)) and out[1].loss_chars == 9 and set(out) == {1, 2, -7}
+    broken = written[0].withColumn("text", F.when(F.col("example") == 2, F.overlay("text", F.lit("?"), F.lit(1))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="lacks the turns"):
+        chat.whole_lengths(broken).collect()
+
+
 def test_token_files(spark, texts):
     from tokenizers import Tokenizer
 
