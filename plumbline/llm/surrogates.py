@@ -14,11 +14,16 @@ the entity under a keyed permutation of all entities of the same format:
 
 First names map within lists of the same gender and script.  Surnames map
 letter by letter class, so script, case and length stay; a gendered ending
-stays too, so the forms of one family name stay forms of one.
+stays too, so the forms of one family name stay forms of one.  Letters outside
+the listed classes move among the letters of their script and block.  Images
+are walked on until they are of the entity's own sort (a listed name or not,
+with or without a gendered ending, hexadecimal or not, a reserved domain or
+not), so the sorts can't meet.
 
 :func:`collisions` checks all of this over the whole corpus: it returns the
-replacements that two different entities share, and :func:`replace_pii` moves
-to the next tweak of the key if there are any.
+replacements that two different entities share.  :func:`replace_pii` moves to
+the next tweak of the key if there are any (two digests may agree by chance)
+and raises when the last one has some too.
 """
 
 from __future__ import annotations
@@ -26,8 +31,10 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,10 +49,11 @@ FIRST_NAMES = {
     ("cyrillic", "m"): "Александр Алексей Андрей Борис Виктор Владимир Дмитрий Иван Игорь Максим Михаил Николай Олег Павел Сергей".split(),
 }
 TITLES = {"m": "Mr Herr Monsieur Señor Sr Sir Lord г-н господин".split(), "f": "Mrs Ms Miss Frau Madame Mme Señora Sra Lady г-жа госпожа".split(), "": "Dr Prof Doctor Professor Доктор".split()}
-LETTER_CLASSES = ("aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "0123456789")
+LETTER_CLASSES = ("aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "0123456789", "áàâäãåéèêëíìîïóòôöõøúùûü", "çñšžčćřłđ", "ъь", "ёєії", "αεηιουω", "άέήίόύώ", "βγδζθκλμνξπρστφχψ")
 GENDERED_ENDINGS = ("ова", "ева", "ина", "ская", "цкая", "ов", "ев", "ин", "ский", "цкий")
 RESERVED_DOMAINS = ("example.com", "example.org", "example.net")
 
+CLASS_OF = {c: k for k in LETTER_CLASSES for c in k}
 NAMES = {name: (where, k) for where, names in FIRST_NAMES.items() for k, name in enumerate(names)}
 _WORD = r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*"
 _TITLE = "|".join(sorted((re.escape(t) for ts in TITLES.values() for t in ts), key=len, reverse=True))
@@ -53,10 +61,11 @@ NUMBER = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?)?\d(?:[ .
 IPV4 = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)")
 ACCESS_KEY = re.compile(r"(?<!\w)(AKIA|ASIA)([A-Z0-9]{16})(?!\w)")
 SECRET = re.compile(r"(?i)(?<!\w)(?:password|passwd|pwd|secret|token|api[_-]?key)(?!\w)[\"']?\s*[:=]\s*[\"']?([\w+/=.~-]{6,})")
-IBAN = re.compile(r"(?<!\w)([A-Z]{2})(\d{2})((?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)")
+IBAN = re.compile(r"(?<!\w)([A-Z]{2})([0-9]{2})((?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)")
 MAIL_LEFT, MAIL_RIGHT = re.compile(r"[\w.+%-]*$"), re.compile(r"(?:[\w-]+\.)+[A-Za-z]{2,}")
 TITLED = re.compile(rf"(?<!\w)({_TITLE})(\.?\s+)((?:{_WORD}\s+)?{_WORD})")
 NAMED = re.compile(rf"(?<!\w)({'|'.join(map(re.escape, sorted(NAMES, key=len, reverse=True)))})( +)({_WORD})")
+HEX = re.compile(r"[0-9a-f]+")
 PHONE_LEAD = re.compile(r"[2-9]\d\d[2-9]")
 
 
@@ -99,7 +108,7 @@ class Permutation:
 
 
 def _digits(text: str) -> str:
-    return "".join(c for c in text if c.isdigit())
+    return "".join(str(int(c)) for c in text if c.isdecimal())
 
 
 def _refill(shape: str, digits: str) -> str:
@@ -113,23 +122,53 @@ def luhn(digits: str) -> int:
     return sum(int(d) if k % 2 == 0 else sum(divmod(2 * int(d), 10)) for k, d in enumerate(reversed(digits))) % 10
 
 
-def _by_class(p: Permutation, label: str, text: str) -> str:
-    """Letters and digits permuted within their classes; other characters, case and length stay."""
-    radix, value, kinds = 1, 0, []
-    for c in text:
-        kind = next((k for k in LETTER_CLASSES if c.lower() in k), "")
-        kinds.append(kind)
-        if kind:
-            value, radix = value * len(kind) + kind.index(c.lower()), radix * len(kind)
-    value = p.shifted(f"{label}|{''.join(str(LETTER_CLASSES.index(k)) if k else c for k, c in zip(kinds, text.lower(), strict=True))}", value, radix)
-    out = []
-    for c, kind in zip(reversed(text), reversed(kinds), strict=True):
+@cache
+def _others(block: int, script: str, category: str, lower: bool) -> str:
+    """Letters and digits of a block of 256 code points, a script and a category that are in none of the classes."""
+    return "".join(c for c in map(chr, range(block << 8, block + 1 << 8)) if c.isalnum() and not _listed(c) and _sort(c) == (block, script, category, lower))
+
+
+def _sort(c: str) -> tuple[int, str, str, bool]:
+    return ord(c) >> 8, unicodedata.name(c, "").split(" ")[0], unicodedata.category(c), c.lower() == c
+
+
+def _listed(c: str) -> str:
+    """The class of a letter in either case, or nothing."""
+    low = c.lower()
+    return CLASS_OF.get(low, "") if c in (low, low.upper()) else ""
+
+
+@cache
+def _class(c: str) -> str:
+    """The letters or digits among which a character moves; nothing for other characters."""
+    return _listed(c) or (_others(*_sort(c)) if c.isalnum() else "")
+
+
+def movable(text: str) -> bool:
+    """Whether any character has others in its class."""
+    return any(len(_class(c)) > 1 for c in text)
+
+
+def _by_class(p: Permutation, label: str, text: str, valid: Callable[[str], bool] | None = None) -> str:
+    """Letters and digits permuted within their classes, to a valid image; other characters, case and length stay."""
+    kinds = [_class(c) for c in text]
+    radix, value = 1, 0
+    for c, kind in zip(text, kinds, strict=True):
         if kind:
-            value, k = divmod(value, len(kind))
-            out.append(kind[k].upper() if c.isupper() else kind[k])
-        else:
-            out.append(c)
-    return "".join(reversed(out))
+            value, radix = value * len(kind) + kind.index(c if c in kind else c.lower()), radix * len(kind)
+
+    def image(value: int) -> str:
+        out = []
+        for c, kind in zip(reversed(text), reversed(kinds), strict=True):
+            if kind:
+                value, k = divmod(value, len(kind))
+                out.append(kind[k] if c in kind else kind[k].upper())
+            else:
+                out.append(c)
+        return "".join(reversed(out))
+
+    shape = "".join(k[0] if k else c for k, c in zip(kinds, text, strict=True))
+    return image(p.shifted(f"{label}|{shape}", value, radix, *([] if valid is None else [lambda v: valid(image(v))])))
 
 
 def _alphabet(p: Permutation, label: str, text: str, letters: str) -> str:
@@ -175,25 +214,29 @@ def ip(p: Permutation, text: str) -> str:
     kind = _space(x)
     if kind == "private":  # within its own block: 10/8, 172.16/12, 192.168/16 and the rest by /16
         bits = 24 if x >> 24 == 10 else 20 if x >> 20 == 0xAC1 else 16
-        return str(ipaddress.IPv4Address(x >> bits << bits | p.shifted(f"ip|{x >> bits}", x & (1 << bits) - 1, 1 << bits)))
+        block = x >> bits << bits
+        return str(ipaddress.IPv4Address(block | p.shifted(f"ip|{x >> bits}", x & (1 << bits) - 1, 1 << bits, lambda y: _space(block | y) == kind)))
     return str(ipaddress.IPv4Address(p.shifted("ip", x, 1 << 32, lambda y: _space(y) == kind)))
 
 
+def _reserved(domain: str) -> bool:
+    return any(domain == x or domain.endswith("." + x) for x in RESERVED_DOMAINS)
+
+
 def email(p: Permutation, text: str) -> str:
     """Local part and domain labels by letter class, lower-cased; top-level and reserved domains stay."""
     local, _, domain = text.lower().rpartition("@")
-    for reserved in RESERVED_DOMAINS:
-        if domain == reserved or domain.endswith("." + reserved):
-            return _by_class(p, f"mail|{domain}", local) + "@" + domain
+    if _reserved(domain):
+        return _by_class(p, f"mail|{domain}", local) + "@" + domain
     head, _, top = domain.rpartition(".")
-    return _by_class(p, f"mail|{top}", f"{local}@{head}") + "." + top
+    return _by_class(p, f"mail|{top}", f"{local}@{head}", lambda x: not _reserved(f"{x.rpartition('@')[2]}.{top}")) + "." + top
 
 
 def secret(p: Permutation, text: str) -> str:
     """Hexadecimal strings stay hexadecimal, others keep their letter classes."""
-    if re.fullmatch(r"[0-9a-f]+", text):
+    if HEX.fullmatch(text):
         return _alphabet(p, "hex", text, "0123456789abcdef")
-    return _by_class(p, "secret", text)
+    return _by_class(p, "secret", text, lambda x: not HEX.fullmatch(x))
 
 
 def access_key(p: Permutation, text: str) -> str:
@@ -202,9 +245,9 @@ def access_key(p: Permutation, text: str) -> str:
 
 
 def iban_valid(text: str) -> bool:
-    """The remainder rule of international account numbers."""
+    """The remainder rule of international account numbers, whose check digits run from 02 to 98."""
     t = text.replace(" ", "")
-    return int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+    return 2 <= int(t[2:4]) <= 98 and int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
 
 
 def iban(p: Permutation, text: str) -> str:
@@ -216,11 +259,15 @@ def iban(p: Permutation, text: str) -> str:
     return "".join(c if c == " " else next(it) for c in text)
 
 
+def _ending(text: str) -> str:
+    return next((e for e in GENDERED_ENDINGS if text.lower().endswith(e) and len(text) > len(e) + 1), "")
+
+
 def surname(p: Permutation, text: str) -> str:
-    """Script, case, length and a gendered ending stay."""
-    ending = next((e for e in GENDERED_ENDINGS if text.lower().endswith(e) and len(text) > len(e) + 1), "")
-    stem = text[: len(text) - len(ending)]
-    return _by_class(p, "surname", stem) + text[len(stem) :]
+    """Script, case, length and a gendered ending stay; the image is no listed first name."""
+    ending = _ending(text)
+    stem, rest = text[: len(text) - len(ending)], text[len(text) - len(ending) :]
+    return _by_class(p, "surname", stem, lambda x: x + rest not in NAMES and _ending(x + rest) == ending) + rest
 
 
 def first_name(p: Permutation, text: str) -> str:
@@ -232,10 +279,8 @@ def first_name(p: Permutation, text: str) -> str:
 
 
 def person(p: Permutation, text: str) -> str:
-    """Parts map one by one, so a later mention by one part still refers to the same person."""
-    parts = re.split(r"(\s+)", text)
-    known = len(parts) > 1 or parts[0] in NAMES
-    return "".join(part if part.isspace() else first_name(p, part) if k == 0 and known else surname(p, part) for k, part in enumerate(parts))
+    """Parts map one by one, wherever they stand, so a later mention by one part still refers to the same person."""
+    return "".join(part if part.isspace() else first_name(p, part) for part in re.split(r"(\s+)", text))
 
 
 KINDS: dict[str, Callable[[Permutation, str], str]] = {"email": email, "ip": ip, "access_key": access_key, "secret": secret, "iban": iban, "card": card, "phone": phone, "person": person}
@@ -264,7 +309,7 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     while at >= 0:
         left = MAIL_LEFT.search(text, max(0, at - 64), at)
         right = MAIL_RIGHT.match(text, at + 1)
-        if left and left[0].strip(".") and right:
+        if left and left[0].strip(".") and right and movable(left[0] + right[0].rpartition(".")[0] * (not _reserved(right[0].lower()))):
             start = at - len(left[0].lstrip("."))
             found.append((start, right.end(), "email"))
         at = text.find("@", at + 1)
@@ -273,7 +318,7 @@ def detect(text: str) -> list[tuple[int, int, str]]:
         found += [(*m.span(), "ip") for m in IPV4.finditer(text) if all(int(o) < 256 for o in m[0].split("."))]
         found += [(*m.span(), "access_key") for m in ACCESS_KEY.finditer(text)]
     if "=" in text or ":" in text:
-        found += [(*m.span(1), "secret") for m in SECRET.finditer(text)]
+        found += [(*m.span(1), "secret") for m in SECRET.finditer(text) if movable(m[1])]  # dots or dashes only stand for a secret
     if low:
         found += [(*m.span(), "iban") for m in IBAN.finditer(text) if iban_valid(m[0])]
         for m in NUMBER.finditer(text):
@@ -290,7 +335,7 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     ranks = {k: r for r, k in enumerate(KINDS)}
     taken: list[tuple[int, int, str]] = []
     for s, e, kind in sorted(found, key=lambda x: (ranks[x[2]], x[0])):
-        if all(e <= a or s >= b for a, b, _ in taken):
+        if all(e <= a or s >= b for a, b, _ in taken) and movable(text[s:e]):
             taken.append((s, e, kind))
     return sorted(taken)
 
@@ -350,9 +395,12 @@ def replace_pii(docs: DataFrame, params: PiiParams | None = None) -> DataFrame:
     columns named n_entities or kinds are replaced; an empty table gives no rows.
     """
     p = params or PiiParams()
-    tweak = 0
-    while tweak < p.most_tweaks and not collisions(docs, p, tweak).isEmpty():
-        tweak += 1
+    for tweak in range(p.most_tweaks):
+        if (left := collisions(docs, p, tweak)).isEmpty():
+            break
+    else:
+        counts = {r.kind: r["count"] for r in left.groupBy("kind").count().collect()}
+        raise ValueError(f"replacements still collide after {p.most_tweaks} tweaks of the key: {counts}")
     fields = [f for f in docs.schema.fields if f.name not in ("n_entities", "kinds")]
     names = [f.name for f in fields]
     at = names.index("text")

@@ -210,6 +210,29 @@ def test_surrogates(spark):
     assert surrogates.collisions(docs(spark, rows)).count() == 0
 
 
+def test_surrogate_sorts_never_meet(spark):
+    rows = [(1, "password: ........ token = ------ Dr Παπαδόπουλος, Dr Ñuñez, _@example.com, IP 192.0.0.5", "s")]
+    assert surrogates.collisions(docs(spark, rows)).count() == 0
+    out = surrogates.replace_pii(docs(spark, rows)).collect()[0]
+    assert "Παπαδόπουλος" not in out.text and "Ñuñez" not in out.text and "........" in out.text and out.n_entities == 3
+    p = surrogates.Permutation(b"key")
+    # all words of a shape, and all listed names: those images must differ
+    words = [a + b + c for a in "БВГД" for b in "аеиоуыэюя" for c in "бвгджзйклмнпрстфхцчшщ"] + list(surrogates.NAMES)
+    words += [a + b + c for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou" for c in ("bcdfghjklmnpqrstvwxyz")] + [a + b + c for a in "AEIOU" for b in "bcdfghjklmnpqrstvwxyz" for c in "aeiou"]
+    words += [a + b + c for a in ("Ба", "Ве") for b in "бвгджзйклмнпрстфхцчшщ" for c in ("ов", "ова", "ин", "ев", "аб", "ыг", "юз")]
+    words = list(dict.fromkeys(words))
+    for image in ([surrogates.person(p, w) for w in words], [surrogates.person(p, f"{w} Smith") for w in words]):
+        assert len(set(image)) == len(words) and not any(x in (w, f"{w} Smith") for x, w in zip(image, words, strict=True))
+    secrets = [a + b + c + d + "ae" for a in "bcdfg" for b in "aeiou" for c in "bcdfg" for d in "bcdfgh"]
+    assert len({surrogates.secret(p, x) for x in secrets}) == len(secrets)
+
+
+def test_surrogates_raise_on_what_still_collides(spark, monkeypatch):
+    monkeypatch.setitem(surrogates.KINDS, "person", lambda p, text: "Same")
+    with pytest.raises(ValueError, match="person"):
+        surrogates.replace_pii(docs(spark, [(1, "Dr Jones saw Dr Brown", "s")]), surrogates.PiiParams(most_tweaks=2))
+
+
 def test_surrogate_permutations():
     p = surrogates.Permutation(b"key")
     for n in (2, 3, 10, 97, 1000):
