@@ -28,6 +28,7 @@ and raises when the last one has some too.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import ipaddress
 import re
@@ -49,6 +50,7 @@ FIRST_NAMES = {
     ("cyrillic", "m"): "Александр Алексей Андрей Борис Виктор Владимир Дмитрий Иван Игорь Максим Михаил Николай Олег Павел Сергей".split(),
 }
 TITLES = {"m": "Mr Herr Monsieur Señor Sr Sir Lord г-н господин".split(), "f": "Mrs Ms Miss Frau Madame Mme Señora Sra Lady г-жа госпожа".split(), "": "Dr Prof Doctor Professor Доктор".split()}
+PARTICLES = frozenset("al bin da de del den der des di do dos du la le ten ter van von y zu".split())
 LETTER_CLASSES = ("aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "0123456789", "áàâäãåéèêëíìîïóòôöõøúùûü", "çñšžčćřłđ", "ъь", "ёєії", "αεηιουω", "άέήίόύώ", "βγδζθκλμνξπρστφχψ")
 GENDERED_ENDINGS = ("ова", "ева", "ина", "ская", "цкая", "ов", "ев", "ин", "ский", "цкий")
 RESERVED_DOMAINS = ("example.com", "example.org", "example.net")
@@ -63,8 +65,12 @@ ACCESS_KEY = re.compile(r"(?<!\w)(AKIA|ASIA)([A-Z0-9]{16})(?!\w)")
 SECRET = re.compile(r"(?i)(?<!\w)(?:password|passwd|pwd|secret|token|api[_-]?key)(?!\w)[\"']?\s*[:=]\s*[\"']?([\w+/=.~-]{6,})")
 IBAN = re.compile(r"(?<!\w)([A-Z]{2})([0-9]{2})((?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)")
 MAIL_LEFT, MAIL_RIGHT = re.compile(r"[\w.+%-]*$"), re.compile(r"(?:[\w-]+\.)+[A-Za-z]{2,}")
-TITLED = re.compile(rf"(?<!\w)({_TITLE})(\.?\s+)((?:{_WORD}\s+)?{_WORD})")
-NAMED = re.compile(rf"(?<!\w)({'|'.join(map(re.escape, sorted(NAMES, key=len, reverse=True)))})( +)({_WORD})")
+_PARTICLE = "|".join(sorted(PARTICLES, key=len, reverse=True))
+TITLED = re.compile(rf"(?<!\w)(?:(?:{_TITLE})\.?\s+)+((?:[^\W\d_]\.\s*)*(?:(?:{_PARTICLE})\s+)*({_WORD}))(?:\s+(?!(?:{_TITLE})(?!\w))({_WORD}))?")
+NAMED = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(NAMES, key=len, reverse=True)))})(?= )")
+MORE = re.compile(rf"(?: +[^\W\d_]\.)*(?: +(?:{_PARTICLE}))* +({_WORD})")
+WORD, PIECE = re.compile(_WORD), re.compile(r"[^\W\d_]+")
+TITLE_WORDS = frozenset(t for ts in TITLES.values() for t in ts)
 HEX = re.compile(r"[0-9a-f]+")
 PHONE_LEAD = re.compile(r"[2-9]\d\d[2-9]")
 
@@ -279,8 +285,8 @@ def first_name(p: Permutation, text: str) -> str:
 
 
 def person(p: Permutation, text: str) -> str:
-    """Parts map one by one, wherever they stand, so a later mention by one part still refers to the same person."""
-    return "".join(part if part.isspace() else first_name(p, part) for part in re.split(r"(\s+)", text))
+    """Parts map one by one, wherever they stand, so a later mention by one part still refers to the same person; particles stay."""
+    return "".join(part if part.isspace() or part in PARTICLES else first_name(p, part) for part in re.split(r"(\s+)", text))
 
 
 KINDS: dict[str, Callable[[Permutation, str], str]] = {"email": email, "ip": ip, "access_key": access_key, "secret": secret, "iban": iban, "card": card, "phone": phone, "person": person}
@@ -298,12 +304,34 @@ def canonical(kind: str, text: str) -> str:
     return text.lower() if kind == "email" else " ".join(text.split()) if kind == "person" else text
 
 
-def _capital(words: str) -> bool:
-    return all(w[0].isupper() for w in words.split())
+def _name_word(word: str) -> bool:
+    return word[0].isupper() and len(word) > 1 and word not in TITLE_WORDS
+
+
+def _name_end(text: str, start: int, end: int) -> int:
+    """End of the name [start, end) with the capitalised words, particles and initials that follow, without a possessive."""
+    while (m := MORE.match(text, end)) and _name_word(m[1]):
+        end = m.end()
+    return end - 2 if end - start > 3 and text[end - 2 : end] in ("'s", "’s") else end
+
+
+def _mentions(text: str, names: list[str]) -> Iterator[tuple[int, int]]:
+    """Where a word of the names, or a piece of a joined word, stands in the text."""
+    parts = {w for name in names for w in name.split() if _name_word(w)}
+    for m in WORD.finditer(text) if parts else ():
+        word = m[0][:-2] if m[0][-2:] in ("'s", "’s") else m[0]
+        if word in parts:
+            yield m.start(), m.start() + len(word)
+        elif len(word) > 1 and not word.isalpha():
+            yield from ((m.start() + x.start(), m.start() + x.end()) for x in PIECE.finditer(word) if x[0] in parts)
 
 
 def detect(text: str) -> list[tuple[int, int, str]]:
-    """Disjoint (start, end, kind) in order of start; of overlapping finds the kind listed first wins."""
+    """Disjoint (start, end, kind) in order of start; of overlapping finds the kind listed first wins.
+
+    Persons are found by a title or a listed first name, and then wherever a
+    word of their names stands in the same text.
+    """
     found: list[tuple[int, int, str]] = []
     at = text.find("@")
     while at >= 0:
@@ -328,16 +356,25 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             elif 7 <= len(digits) <= 15 and not plain and (m[0][0] in "+(" or re.fullmatch(r"\d{3}[ .-]\d{3}[ .-]\d{4}", m[0])):
                 found.append((*m.span(), "phone"))
     for m in TITLED.finditer(text):
-        words = m[3].split()
-        if words[0][0].isupper():
-            found.append((m.start(3), m.start(3) + (len(m[3]) if _capital(m[3]) else len(words[0])), "person"))
-    found += [(m.start(), m.end(), "person") for m in NAMED.finditer(text) if _capital(m[3]) and len(m[3]) > 1]
+        if m[2][0].isupper():
+            found.append((m.start(1), _name_end(text, m.start(1), m.end(3) if m[3] and m[3][0].isupper() else m.end(1)), "person"))
+    for m in NAMED.finditer(text):
+        more = MORE.match(text, m.end())
+        if more and _name_word(more[1]):
+            found.append((m.start(), _name_end(text, *m.span()), "person"))
     ranks = {k: r for r, k in enumerate(KINDS)}
     taken: list[tuple[int, int, str]] = []
+
+    def take(s: int, e: int, kind: str) -> None:
+        k = bisect.bisect(taken, (s, e, kind))
+        if (not k or taken[k - 1][1] <= s) and (k == len(taken) or taken[k][0] >= e) and movable(text[s:e]):
+            taken.insert(k, (s, e, kind))
+
     for s, e, kind in sorted(found, key=lambda x: (ranks[x[2]], x[0])):
-        if all(e <= a or s >= b for a, b, _ in taken) and movable(text[s:e]):
-            taken.append((s, e, kind))
-    return sorted(taken)
+        take(s, e, kind)
+    for s, e in _mentions(text, [text[s:e] for s, e, kind in taken if kind == "person"]):
+        take(s, e, "person")
+    return taken
 
 
 @dataclass(frozen=True)

@@ -227,6 +227,18 @@ def test_surrogate_sorts_never_meet(spark):
     assert len({surrogates.secret(p, x) for x in secrets}) == len(secrets)
 
 
+def test_surrogates_follow_a_person_through_the_text():
+    p = surrogates.Permutation(b"key")
+    new = lambda w: surrogates.person(p, w)
+    said = "John Smith met Anna Brown. Later Smith left with Anna. Smith's dog, Smith-Lee"
+    want = f"{new('John')} {new('Smith')} met {new('Anna')} {new('Brown')}. Later {new('Smith')} left with {new('Anna')}. {new('Smith')}'s dog, {new('Smith')}-Lee"
+    assert surrogates.rewrite(said, p)[0] == want
+    for text in ("Dr Martin Luther King spoke", "Mary Jane Watson, Watson", "Prof. Dr. Ludwig van Beethoven", "John F. Kennedy came", "Mr J. Kennedy came", "Dr van Beethoven", "Mr Smith Mrs Jones"):
+        out = surrogates.rewrite(text, p)[0]
+        assert not {"Martin", "Luther", "King", "Mary", "Jane", "Watson", "Ludwig", "Beethoven", "John", "Kennedy", "Smith", "Jones"} & set(re.findall(r"\w+", out)) and len(re.findall("Dr|Mr|Mrs|van", out)) == len(re.findall("Dr|Mr|Mrs|van", text))
+    assert surrogates.rewrite("Smith and Anna met", p)[0] == "Smith and Anna met"
+
+
 def test_surrogates_raise_on_what_still_collides(spark, monkeypatch):
     monkeypatch.setitem(surrogates.KINDS, "person", lambda p, text: "Same")
     with pytest.raises(ValueError, match="person"):
