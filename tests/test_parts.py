@@ -35,6 +35,16 @@ def test_search_paths_agree_on_near_names(spark):
     assert best(True) == best(False) == {"ленена": "ленина", "миро": "мира"}
 
 
+def test_nearest_names_without_a_common_gram(spark):
+    rng = random.Random(3)
+    words = ["нитап", "мир", *("".join(rng.choice("аимнпрст") for _ in range(rng.randint(2, 9))) for _ in range(60))]
+    d = build(spark.createDataFrame([(f"e{k}", "Москва", "улица", w, "5", k) for k, w in enumerate(dict.fromkeys(words))], DICT))
+    asked = spark.createDataFrame([(w,) for w in ("мирас", "пуск", "щёголь", "аа", "стрим", "q")], "q string")
+    for k in (1, 20):
+        found = lambda full: sorted((r.q, r.name_rank, r.name, round(r.lev, 9), round(r.phon, 9), round(r.ngram, 9)) for r in search.nearest_names(asked, d, k, full).collect())  # noqa: B023, E731
+        assert found(False) == found(True) and len(found(False)) == 6 * k
+
+
 def test_cities(spark):
     d = build(spark.createDataFrame(ROWS, DICT))
     asked = spark.createDataFrame([("Москва", None), ("масква", None), ("", None), ("кемерово", None), ("москва", ["самара"]), ("москва", ["нет"])], "q string, scope array<string>")
