@@ -27,18 +27,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import file_system, fresh_path, materialise
+from .wordgrams import byte_chunks
 
 #: Fixed values of the format.
 MAGIC, MASK_DELTA, END_ID = b"PLTOK1\0\0", 0xA282EAD8, 0
 INDEX_TYPE = np.dtype([("offset", "<u8"), ("start", "<u8"), ("n_tokens", "<u8")])
 #: How byte-level vocabularies spell a space.
 SPACE_MARK = "\u0120"
+#: Letters of scripts whose classes are settled, then stop marks: two parts for a byte-level vocabulary.
+PLAIN_CHUNK = "^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿĀ-ſА-Яа-яЁё]+)(?P<mark>[.,;:!?]*)$"
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
-BATCH_CHARS = 1 << 20
+BATCH_BYTES = 8 << 20
 
 
 def masked_crc(data: bytes) -> int:
@@ -47,8 +51,9 @@ def masked_crc(data: bytes) -> int:
     return ((crc >> 15 | crc << 17) + MASK_DELTA) & 0xFFFFFFFF
 
 
-def frame(payload: bytes) -> bytes:
-    """One length-delimited record."""
+def frame(*parts: bytes) -> bytes:
+    """One length-delimited record of a payload in parts."""
+    payload = b"".join(parts)
     size = struct.pack("<Q", len(payload))
     return b"".join((size, struct.pack("<I", masked_crc(size)), payload, struct.pack("<I", masked_crc(payload))))
 
@@ -69,80 +74,112 @@ def read_frames(stream) -> Iterator[tuple[int, bytes]]:
 
 
 class ChunkEncoder:
-    """Ids of whole texts, with repeated chunks encoded once.
+    """Ids of whole texts, with repeated chunks encoded once per batch.
 
     A byte-level vocabulary splits "ab cd" before the space whatever surrounds
     it, as long as the space stands between two characters that are not white
-    space.  So a text is cut at spaces, each chunk is encoded with its space by
-    the tokenizer and kept, and the text's ids are the chunks' ids in a row.  A
-    text with an irregular chunk (empty, edged by other white space, or holding
-    a special token) is encoded whole.  The kept chunks are bounded.
+    space.  So texts are cut at spaces, each distinct chunk of the batch is
+    encoded once (with its space, or without where it opens a text) and a text's
+    ids are its chunks' ids in a row.  A text with an irregular chunk (empty,
+    edged by other white space, or holding a special token) is encoded whole.
+    Chunks of letters and a stop mark, which split between the two, go to the
+    vocabulary's model directly.  Nothing is kept from batch to batch, so memory
+    is bounded by the batch.
     """
 
-    def __init__(self, tokenizer, kind: np.dtype, most: int = 1_500_000, longest: int = 64):
-        self.tokenizer, self.kind, self.most, self.longest = tokenizer, kind, most, longest
+    def __init__(self, tokenizer, kind: np.dtype):
+        self.tokenizer, self.kind = tokenizer, kind
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes | None] = {}
         pre = tokenizer.pre_tokenizer
         words = tokenizer.get_vocab(with_added_tokens=False)
         self.opens = np.zeros(max(tokenizer.get_vocab_size(), *words.values()) + 1, bool)  # ids whose token begins with a space
         self.opens[[k for w, k in words.items() if w.startswith(SPACE_MARK)]] = True
-        self.by_chunk = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and tokenizer.normalizer is None
-
-    def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.array(x.ids, dtype=self.kind).tobytes()
-
-    def _encode_chunks(self, chunks: list[str], run: int = 4096) -> Iterator[bytes]:
-        """Ids of each chunk with a space before it; many chunks go in one text and
-        part where a token begins with a space, as no chunk holds one inside."""
-        runs = [chunks[k : k + run] for k in range(0, len(chunks), run)]
-        for part, ids in zip(runs, self._encode(["".join([f" {c}" for c in part]) for part in runs]), strict=True):
-            ids = np.frombuffer(ids, self.kind)
-            cuts = np.flatnonzero(self.opens[ids])
+        self.by_chunk = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and pre.use_regex and tokenizer.normalizer is None and not any(" " in x for x in self.special)
+        self.model = tokenizer.model
+        # printable bytes of Latin-1 stand for themselves, the others for the characters from 256 on
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        self.spelling = {b: 256 + k for k, b in enumerate(sorted(set(range(256)).difference(plain)))}
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts end to end, and the number of each."""
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter((k for ids in found for k in ids), self.kind), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _encode_chunks(self, chunks: list[str], run: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers of each chunk with a space before it; many chunks go in one
+        text and part where a token begins with a space, as no chunk holds one inside."""
+        ids, sizes = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
+        for a in range(0, len(chunks), run):
+            part = chunks[a : a + run]
+            [made] = self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)
+            ids.append(np.array(made.ids, self.kind))
+            cuts = np.flatnonzero(self.opens[ids[-1]])
             if len(cuts) != len(part):
                 raise ValueError("chunks and ids do not line up")
-            raw, size = ids.tobytes(), self.kind.itemsize
-            ends = [*(cuts[1:] * size).tolist(), len(raw)]
-            yield from (raw[a:b] for a, b in zip((cuts * size).tolist(), ends, strict=True))
-
-    def _regular(self, chunk: str) -> bool:
-        return bool(chunk) and not chunk[0].isspace() and not chunk[-1].isspace() and not any(s in chunk for s in self.special)
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as bytes of ``kind``."""
+            sizes.append(np.diff(cuts, append=len(ids[-1])))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _encode_words(self, words: list[str], marks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers of each word with a space before it and its stop marks after it."""
+        tokenize, of_marks = self.model.tokenize, {"": []}
+        ids, sizes = [], []
+        for word, mark in zip(words, marks, strict=True):
+            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.spelling)
+            if mark not in of_marks:
+                of_marks[mark] = [t.id for t in tokenize(mark)]
+            made = [t.id for t in tokenize(SPACE_MARK + spelled)] + of_marks[mark]
+            ids += made
+            sizes.append(len(made))
+        return np.array(ids, self.kind), np.array(sizes, np.int64)
+
+    def _irregular(self, chunks: pa.Array) -> np.ndarray:
+        """Which chunks may split otherwise inside a text than alone."""
+        bad = pc.or_(pc.equal(chunks, ""), pc.not_equal(pc.utf8_trim_whitespace(chunks), chunks))
+        for special in self.special:
+            bad = pc.or_(bad, pc.match_substring(chunks, special))
+        return bad.to_numpy(zero_copy_only=False)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts end to end, and the number of each text's."""
         if not self.by_chunk:
-            return list(self._encode(texts))
-        if len(self.known) > self.most:
-            self.known.clear()
-        known, cut = self.known, [t.split(" ") for t in texts]
-        unknown = set().union(*cut).difference(known)
-        regular = [c for c in unknown if self._regular(c)]
-        known.update(dict.fromkeys(unknown))
-        known.update(zip(regular, self._encode_chunks(regular), strict=True))
-        heads = self._encode([c[0] for c in cut])
-        found, whole = [], []
-        for k, (chunks, head) in enumerate(zip(cut, heads, strict=True)):
-            try:
-                if known[chunks[0]] is None:
-                    raise TypeError
-                found.append(head + b"".join([known[c] for c in chunks[1:]]))
-            except TypeError:
-                found.append(b"")
-                whole.append(k)
-        for k, ids in zip(whole, self._encode([texts[k] for k in whole]), strict=True):
-            found[k] = ids
-        for chunk in unknown:
-            if len(chunk) > self.longest:
-                del known[chunk]
-        return found
+            return self._encode(texts.to_pylist())
+        cut = pc.split_pattern(texts, " ")
+        starts = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
+        chunks = cut.flatten().dictionary_encode()
+        names, code = chunks.dictionary, chunks.indices.to_numpy()
+        bad = self._irregular(names)
+        whole = np.logical_or.reduceat(bad[code], starts)
+        alone = np.flatnonzero(whole)
+        parts = pc.extract_regex(names, PLAIN_CHUNK)
+        plain = pc.is_valid(parts).to_numpy(zero_copy_only=False) & ~bad
+        word_ids, word_sizes = self._encode_words(*(parts.field(k).filter(pa.array(plain)).to_pylist() for k in (0, 1)))
+        other_ids, other_sizes = self._encode_chunks(names.filter(pa.array(~plain & ~bad)).to_pylist())
+        heads = names.take(pa.array(code[starts[~whole]])).dictionary_encode()
+        head_ids, head_sizes = self._encode(heads.dictionary.to_pylist())
+        own_ids, own_sizes = self._encode(texts.take(pa.array(alone)).to_pylist())
+        # one list of ids per plain chunk, other chunk, opening chunk and whole text
+        lists = np.concatenate((word_sizes, other_sizes, head_sizes, own_sizes))
+        offsets = pa.array(np.concatenate(([0], np.cumsum(lists))).astype(np.int32))
+        every = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate((word_ids, other_ids, head_ids, own_ids))))
+        where = np.zeros(len(names), np.int32)
+        where[plain] = np.arange(len(word_sizes))
+        where[~plain & ~bad] = len(word_sizes) + np.arange(len(other_sizes))
+        n = len(word_sizes) + len(other_sizes)
+        place = where[code]
+        place[starts[~whole]] = n + heads.indices.to_numpy()
+        place[starts[whole]] = n + len(head_sizes) + np.arange(len(alone))
+        of_whole = np.repeat(whole, np.diff(starts, append=len(code)))
+        of_whole[starts] = False
+        place = place[~of_whole]  # a text that is encoded whole is one entry
+        first = np.cumsum(np.concatenate(([0], np.where(whole, 1, np.diff(starts, append=len(code))))))[:-1]
+        return every.take(pa.array(place)).flatten().to_numpy(), np.add.reduceat(lists[place], first)
 
 
 _loaded: dict = {}
 
 
 def _encoder(path: str) -> ChunkEncoder:
-    """One encoder per Python worker; ids are u16 where the vocabulary allows."""
+    """One tokenizer per Python worker; ids are u16 where the vocabulary allows."""
     if path not in _loaded:
         import os
 
@@ -154,20 +191,6 @@ def _encoder(path: str) -> ChunkEncoder:
     return _loaded[path]
 
 
-def in_batches(texts: list[str], encode: ChunkEncoder) -> Iterator[bytes]:
-    """Encoded texts, a bounded number of characters at a time."""
-    batch: list[str] = []
-    held = 0
-    for text in texts:
-        batch.append(text)
-        held += len(text)
-        if held >= BATCH_CHARS:
-            yield from encode(batch)
-            batch, held = [], 0
-    if batch:
-        yield from encode(batch)
-
-
 def default_path() -> str:
     """Place of the public byte-level vocabulary."""
     import public_tokenizers
@@ -191,14 +214,16 @@ def _writer(folder: str, tokenizer_path: str | None):
                 out = fs.open_output_stream(path)
                 out.write(MAGIC + bytes([kind.itemsize]))
                 first = batch.column("part")[0].as_py()
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), in_batches(texts, encode), strict=True):
-                payload = struct.pack("<qB", doc_id or 0, doc_id is not None) + ids + end
-                record = frame(payload)
-                out.write(record)
-                offsets.append(at)
-                counts.append(len(ids) // kind.itemsize + 1)
-                at, total = at + len(record), total + counts[-1]
+            doc_ids, texts = batch.column("doc_id"), pc.fill_null(batch.column("text"), "")
+            for a, b in byte_chunks(texts, BATCH_BYTES):
+                ids, sizes = encode(texts.slice(a, b - a))
+                ids, done = memoryview(ids.astype(kind, copy=False)).cast("B"), 0
+                for doc_id, n in zip(doc_ids.slice(a, b - a).to_pylist(), sizes.tolist(), strict=True):
+                    record = frame(struct.pack("<qB", doc_id or 0, doc_id is not None), ids[done : (done := done + n * kind.itemsize)], end)
+                    out.write(record)
+                    offsets.append(at)
+                    counts.append(n + 1)
+                    at, total = at + len(record), total + n + 1
         if out is None:
             return
         out.close()
