@@ -4,27 +4,31 @@ Texts are folded before matching: lower case, compatibility forms, homoglyphs
 of other scripts, digits and signs that stand for letters; everything else
 becomes a space.  The lexicon is learned from labelled rows: whole words and
 word stems (a stem must open several words) whose share among toxic documents
-exceeds that among clean ones, weighted by their log odds ratio.  Words that
-open with a stem but are common in clean documents, and phrases given as a
-parameter, are exceptions: a hit inside one does not count.  The score is a
-logistic function of the weights found, normalised by the text's length.
-
-The labelled rows are a bounded sample (``max_train``); everything else covers
-all rows in one pass without a shuffle of texts.
+exceeds that among clean ones, weighted by their log odds ratio.  Exceptions are
+words that open with a stem but prevail in clean documents, phrases of two or
+three words around a hit that prevail there, and phrases given as a parameter:
+a hit inside one does not count.  The score is a logistic function of the
+weights found, normalised by the text's length.
+
+The labelled rows are a bounded sample (``max_train``) and the model is of
+bounded size (``max_entries`` of the heaviest entries and of the commonest
+exceptions of each sort); everything else covers all rows in one pass without
+a shuffle of texts.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialise
@@ -35,6 +39,7 @@ LOOKALIKES = {"а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h",
 DIGITS = {"0": "o", "1": "i", "l": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i"}
 STEM_LENGTHS = (3, 4, 5, 6, 7, 8, 9)
+TERMS = "term string, kind int, pos long, neg long"
 
 
 class _Folding(dict):
@@ -73,7 +78,7 @@ class ToxicityParams:
     min_weight: least log odds ratio; min_evidence: least log likelihood ratio of
     an entry against one shared share of toxic documents (10 is a chance of about
     1 in 100,000), which keeps rare words of a small sample out; stem_words: words that a stem opens;
-    max_entries: bound of the lexicon; phrases: exception phrases; threshold:
+    max_entries: bound of the lexicon; phrases: more exception phrases; threshold:
     least score of a toxic document."""
 
     max_train: int = 30_000
@@ -90,7 +95,7 @@ class ToxicityParams:
 
 @dataclass
 class Lexicon:
-    """words and stems with weights, exception words, and the score's slopes and offset."""
+    """words and stems with weights, exception words and phrases, and the score's slopes and offset."""
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
@@ -114,11 +119,8 @@ class Lexicon:
         return found
 
 
-def features(text: str, automaton) -> tuple[float, float]:
-    """Logs of 1 + the weight of hits outside exceptions per 100 words, and of 1 + their number."""
-    if not len(automaton):
-        return 0.0, 0.0
-    folded = fold(text)
+def _hits(folded: str, automaton) -> dict[int, float]:
+    """Weight of the heaviest entry that starts at each place, those inside an exception left out."""
     hits, safe = {}, []
     for end, (size, weight) in automaton.iter(folded):
         start = end - size + 1
@@ -126,28 +128,81 @@ def features(text: str, automaton) -> tuple[float, float]:
             hits[start] = max(weight, hits.get(start, 0.0))
         else:
             safe.append((start, end))
-    if safe:
-        hits = {at: w for at, w in hits.items() if not any(a <= at < b for a, b in safe)}
+    if safe and hits:
+        safe.sort()
+        starts, reach = [a for a, _ in safe], list(accumulate((b for _, b in safe), max))
+        covered = ((at, bisect.bisect_right(starts, at)) for at in hits)
+        hits = {at: hits[at] for at, k in covered if not k or reach[k - 1] <= at}
+    return hits
+
+
+def features(text: str, automaton) -> tuple[float, float]:
+    """Logs of 1 + the weight of hits outside exceptions per 100 words, and of 1 + their number."""
+    if not len(automaton):
+        return 0.0, 0.0
+    folded = fold(text)
+    hits = _hits(folded, automaton)
     if not hits:
         return 0.0, 0.0
     return math.log1p(100 * sum(hits.values()) / (len(folded.split()) + 10)), math.log1p(len(hits))
 
 
-def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document counts by label of words and word stems, per batch of distinct texts."""
+def _counted(texts: Iterator[tuple[str, int]], terms_of, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """(term, kind, pos, neg): documents by label that hold a term, added up until some ``most`` characters of terms are held."""
+    counts, held = {}, 0
+
+    def flush():
+        keys = sorted(counts)
+        made = {"term": pa.array([k[0] for k in keys], pa.string()), "kind": pa.array([k[1] for k in keys], pa.int32())}
+        made |= {name: pa.array([counts[k][y] for k in keys], pa.int64()) for y, name in ((1, "pos"), (0, "neg"))}
+        counts.clear()
+        return pa.RecordBatch.from_pydict(made)
+
+    for text, toxic in texts:
+        for key in terms_of(text):
+            if key not in counts:
+                counts[key] = [0, 0]
+                held += len(key[0]) + 64
+            counts[key][toxic] += 1
+        if held > most:
+            held = 0
+            yield flush()
+    if counts:
+        yield flush()
+
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int]]:
     for batch in batches:
-        counts = {0: Counter(), 1: Counter()}
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            words = set(fold(text or "").split())
-            counts[toxic].update((w, 0) for w in words if len(w) <= 40)
-            counts[toxic].update((s, 1) for s in {w[:k] for w in words for k in STEM_LENGTHS if len(w) > k})
-        keys = sorted(counts[0].keys() | counts[1].keys())
-        for a in range(0, len(keys), 50_000):
-            part = keys[a : a + 50_000]
-            yield pa.RecordBatch.from_pydict(
-                {"term": [k[0] for k in part], "kind": pa.array([k[1] for k in part], pa.int32())}
-                | {name: pa.array([counts[y][k] for k in part], pa.int64()) for y, name in ((1, "pos"), (0, "neg"))}
-            )
+        for text, toxic in zip(batch.column("text"), batch.column("toxic"), strict=True):
+            yield text.as_py() or "", toxic.as_py()
+
+
+def _words_and_stems(text: str) -> set[tuple[str, int]]:
+    words = set(fold(text).split())
+    return {(w, 0) for w in words} | {(w[:k], 1) for w in words for k in STEM_LENGTHS if len(w) > k}
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Document counts by label of words (kind 0) and word stems (kind 1)."""
+    yield from _counted(_labelled(batches), _words_and_stems)
+
+
+def _contexts(lexicon: Lexicon):
+    """Document counts by label of the phrases of two and three words around a hit (kind 1), and of any hit (kind 0)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = lexicon.automaton()
+
+        def phrases(text: str) -> set[tuple[str, int]]:
+            folded, found = fold(text), set()
+            for at in _hits(folded, automaton):
+                before, after = folded[max(0, at - 80) : at].split()[-1:], folded[at : at + 240].split()[:2]
+                found |= {" ".join(x) for x in (before + after[:1], after, before + after) if len(x) > 1}
+            return {(x, 1) for x in found} | {("", 0) for _ in found}
+
+        yield from _counted(_labelled(batches), phrases)
+
+    return run
 
 
 def _measured(lexicon: Lexicon):
@@ -184,6 +239,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[tup
         free = [k for k in free if k == 2 or whole[k] > 0]
 
 
+def _evidence(pos: int, neg: int) -> Column:
+    """Log likelihood ratio of a term's own share of toxic documents against that of ``pos`` toxic and ``neg`` clean ones."""
+    seen = F.col("pos") + F.col("neg")
+    return sum(F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (seen * F.lit(n / (pos + neg))))).otherwise(0.0) for c, n in (("pos", pos), ("neg", neg)))
+
+
 def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = None) -> Lexicon:
     """Learn the lexicon from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0/1).
 
@@ -204,14 +265,13 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = No
     if not pos or not neg:
         return Lexicon()
     terms = materialise(
-        sample.mapInArrow(_terms, "term string, kind int, pos long, neg long").groupBy("term", "kind").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")),
+        sample.mapInArrow(_terms, TERMS).groupBy("term", "kind").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")),
         "toxic-terms",
     )
     weight = F.log((F.col("pos") + p.prior) / (pos + 1)) - F.log((F.col("neg") + p.prior) / (neg + 1))
     least = max(p.min_docs, math.ceil(p.min_share * pos))
-    seen, share = F.col("pos") + F.col("neg"), pos / (pos + neg)
-    evidence = sum(F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (seen * q))).otherwise(0.0) for c, q in (("pos", share), ("neg", 1 - share)))
-    strong = terms.withColumn("w", weight).filter((F.col("pos") >= least) & (F.col("w") >= p.min_weight) & (evidence >= p.min_evidence))
+    cleaner = F.col("neg") / neg > F.col("pos") / pos
+    strong = terms.withColumn("w", weight).filter((F.col("pos") >= least) & (F.col("w") >= p.min_weight) & (_evidence(pos, neg) >= p.min_evidence))
     entries = strong.orderBy(F.desc("w"), "term").limit(p.max_entries).collect()
     stems = _stems(terms, {r.term: (r.pos, r.w) for r in entries if r.kind == 1}, p)
     words = {r.term: r.w for r in entries if r.kind == 0 and not any(r.term.startswith(s) for s in stems)}
@@ -220,9 +280,15 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = No
         opened = F.lit(False)
         for stem in stems:
             opened = opened | F.col("term").startswith(stem)
-        clean = terms.filter((F.col("kind") == 0) & opened & (F.col("neg") / neg > F.col("pos") / pos))
+        clean = terms.filter((F.col("kind") == 0) & opened & cleaner)
         safe = [r.term for r in clean.orderBy(F.desc("neg"), "term").limit(p.max_entries).collect()]
     lexicon = Lexicon(words, stems, tuple(safe) + tuple(" ".join(fold(x).split()) for x in p.phrases))
+    around = sample.mapInArrow(_contexts(lexicon), TERMS).groupBy("term", "kind").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    around = materialise(around, "toxic-phrases")
+    hit = around.filter("kind = 0").first()
+    if hit and hit.pos and hit.neg:  # a phrase must be cleaner than hits are as a rule, beyond chance
+        clean = around.filter((F.col("kind") == 1) & (F.col("neg") >= p.min_docs) & cleaner & (_evidence(hit.pos, hit.neg) >= p.min_evidence))
+        lexicon.exceptions += tuple(r.term for r in clean.orderBy(F.desc("neg"), "term").limit(p.max_entries).collect())
     rows = np.array([tuple(r) for r in sample.mapInArrow(_measured(lexicon), "x double, k double, toxic int").collect()])
     lexicon.slopes, lexicon.offset = fit_logistic(rows[:, :2], rows[:, 2])
     return lexicon
