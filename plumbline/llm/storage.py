@@ -4,17 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Written tables by the DataFrame that reads them.
+_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; set a temporary one only where unset."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset and all is one machine."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = sc.getCheckpointDir()
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         sc.setCheckpointDir(configured)
     return configured.rstrip("/")
@@ -29,19 +37,28 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
     The reread relation carries its file size, so the planner can choose a
-    broadcast only where the written table is really small.
+    broadcast only where the written table is really small.  The shuffles of
+    the write are deleted when it ends, as nothing reads them again.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    _written[table] = path
+    return table
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder through Hadoop's file system API."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def release(*tables: DataFrame) -> None:
+    """Delete written tables that no result reads any more, through Hadoop's file system API."""
+    for table in tables:
+        spark, path = table.sparkSession, _written.pop(table)
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def file_system(path: str):

@@ -7,25 +7,24 @@ Sorting every suffix would move each text a hundred times, so suffixes are
 thinned without losing a match:
 
 1. In every window of ``length`` bytes the leftmost smallest ``seed``-byte
-   gram (by hash) is its anchor.  Equal windows have equal anchors at equal
-   offsets, so only anchors whose gram repeats can matter (about 1 byte in 26
-   is an anchor).
-2. Anchor suffixes are range-partitioned with sampled splitters by (gram,
-   surroundings, document, position) and sorted in their bucket.  Of anchors
-   with equal surroundings (every byte a window on them can reach) the first
-   stands for all; the others' windows are repeats.  Anchors whose gram occurs
-   with other surroundings stay open.  What touches a bucket's edge stays open
-   too, so no decision needs another bucket here.
-3. The windows of open anchors are suffixes again: range-partitioned with
-   sampled splitters by (leading ``length`` bytes, document, position), sorted
-   in their bucket by a multikey sort and compared with their predecessor.
-   The splitters carry document and position, so a string with any share of
-   the rows spans buckets; each bucket's first suffix is compared with the
-   last of the bucket before.
-4. Repeated windows become intervals per document, and the text is cut.
-
-Leading bytes are compared by a 64-bit hash of their content; nothing is
-capped or sampled but the splitters, which only steer the balance.
+   gram (by hash) is its anchor (about 1 byte in 26 is one).  Equal windows have
+   equal anchors at equal offsets, so only anchors whose gram repeats matter.
+   They are found by hash; a false match of hashes only keeps a suffix too many.
+2. Suffixes at those anchors carry their bytes - all that a window on the anchor
+   reaches - and are range-partitioned by sampled splitters over (leading 8
+   bytes, gram's hash, document, position).  A bucket is read in runs of bounded
+   size; a run is sorted by a multikey quicksort on the bytes.  Of suffixes with
+   equal bytes the first stands for all, the others are repeats as a whole; where
+   the gram's surroundings differ, the windows are sorted in the same way and
+   compared with their predecessors.
+3. A gram that a splitter or the end of a run cuts is not decided there: its
+   windows are range-partitioned anew, by splitters over (all their bytes,
+   document, position), so a string with any share of the rows spans buckets, and
+   each bucket's first window is compared with the last of the bucket before.
+4. Repeats become intervals per document, and the text is cut.
+
+Every decision compares bytes.  Nothing is capped or sampled but the splitters,
+which only steer the balance.
 """
 
 from __future__ import annotations
@@ -33,35 +32,54 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import materialise, release
 from .wordgrams import _TABLE, byte_chunks, mix64, powers, text_bytes
 
 COPY_BITS = 40
+SMALL_SORT = 4096
 
 
 @dataclass(frozen=True)
 class SuffixParams:
     """length: bytes of a repeat; seed: bytes of an anchor's gram; bucket_bytes:
-    text per bucket; sample: most sampled keys for the splitters."""
+    text per bucket, as far as most_buckets allow; per_bucket: sampled keys per
+    splitter (the driver holds at most most_buckets x per_bucket of them);
+    run_bytes: suffixes that a task sorts at once."""
 
     length: int = 100
     seed: int = 50
     bucket_bytes: int = 4 << 20
     least_buckets: int = 96
-    sample: int = 100_000
+    most_buckets: int = 1 << 16
+    per_bucket: int = 32
+    run_bytes: int = 16 << 20
+
+    @property
+    def reach(self) -> int:
+        """Most bytes of a window before its anchor."""
+        return self.length - self.seed
+
+    @property
+    def width(self) -> int:
+        """Most bytes that the windows on one anchor reach."""
+        return self.length + self.reach
+
+    def buckets(self, n_bytes: int, least: int) -> int:
+        return min(self.most_buckets, max(least, n_bytes // self.bucket_bytes))
 
 
 class Windows:
     """Rolling hashes, windows and anchors of a run of documents end to end."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, p: SuffixParams):
-        self.p, self.offsets, n = p, offsets, len(raw)
+        self.p, self.raw, self.offsets, n = p, raw, offsets, len(raw)
         up, self.down = powers(max(n, 1))
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_TABLE[raw] * up, out=self.sums[1:])
@@ -89,41 +107,83 @@ class Windows:
         """Hash of the ``size`` bytes at each position."""
         return mix64((self.sums[at + size] - self.sums[at]) * self.down[at])
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct anchor positions and their documents' rows."""
-        first = np.flatnonzero(np.concatenate(([True], self.anchor[1:] != self.anchor[:-1]))) if len(self.anchor) else np.zeros(0, np.int64)
-        return self.anchor[first], self.row[first]
-
-    def keys(self, at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the gram and of the surroundings of anchors."""
-        low = np.maximum(at - (self.p.length - self.p.seed), self.offsets[row])
-        high = np.minimum(at + self.p.length, self.offsets[row + 1])
-        around = self.hash(low, high - low) + ((at - low) * 512 + (high - low)).astype(np.uint64)
-        return self.hash(at, self.p.seed), mix64(around)
-
-
-def multikey_sort(keys: list[np.ndarray]) -> np.ndarray:
-    """Order of rows by several keys: sort on the first, then only runs of ties on the next."""
-    order = np.argsort(keys[0], kind="stable")
-    for depth in range(1, len(keys)):
-        same = np.ones(len(order), bool)
-        same[:1] = False
-        for k in keys[:depth]:
-            s = k[order]
-            same[1:] &= s[1:] == s[:-1]
-        tied = same.copy()
-        tied[:-1] |= same[1:]
-        rows = np.flatnonzero(tied)
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct anchors: position, document's row, start of the first window and number of windows."""
+        if not len(self.anchor):
+            none = np.zeros(0, np.int64)
+            return none, none, none, none
+        first = np.flatnonzero(np.concatenate(([True], (self.anchor[1:] != self.anchor[:-1]) | (self.row[1:] != self.row[:-1]))))
+        return self.anchor[first], self.row[first], self.start[first], np.diff(first, append=len(self.anchor))
+
+    def reached(self, start: np.ndarray, many: np.ndarray) -> np.ndarray:
+        """The bytes that windows reach, one row each of ``width`` bytes, zero beyond."""
+        padded = np.concatenate((self.raw, np.zeros(self.p.width, np.uint8)))
+        rows = np.lib.stride_tricks.sliding_window_view(padded, self.p.width)[start]
+        rows[np.arange(self.p.width) >= (many + self.p.length - 1)[:, None]] = 0
+        return rows
+
+
+def _refined(keys: list[np.ndarray], order: np.ndarray, depth: int) -> np.ndarray:
+    """A short range's order: sort on one key, then only runs of ties on the next."""
+    same = np.ones(len(order), bool)
+    same[:1] = False
+    for key in keys[depth:]:
+        rows = np.flatnonzero(same | np.append(same[1:], False))
         if not len(rows):
             break
-        run = np.cumsum(~same)[rows]
-        order[rows] = order[rows][np.lexsort((keys[depth][order[rows]], run))]
+        run, word = np.cumsum(~same)[rows], key[order[rows]]
+        if ((word[1:] != word[:-1]) & (run[1:] == run[:-1])).any():
+            order[rows] = order[rows][np.lexsort((word, run))]
+        word = key[order]
+        same[1:] &= word[1:] == word[:-1]
+    return order
+
+
+def multikey_quicksort(keys: list[np.ndarray]) -> np.ndarray:
+    """Order of rows by several keys.
+
+    A range is parted in three around a pivot of the key at its depth; the rows
+    equal to the pivot go on with the next key, the others with the same one.
+    """
+    order = np.arange(len(keys[0]))
+    todo = [(0, len(order), 0)]
+    while todo:
+        a, b, depth = todo.pop()
+        if b - a < 2 or depth == len(keys):
+            continue
+        rows = order[a:b]
+        if b - a <= SMALL_SORT:
+            order[a:b] = _refined(keys, rows.copy(), depth)
+            continue
+        word = keys[depth][rows]
+        sample = np.sort(word[:: max(1, len(word) // 31)])
+        pivot = sample[len(sample) // 2]
+        low, high = word < pivot, word > pivot
+        m, n = a + int(low.sum()), b - int(high.sum())
+        order[a:b] = np.concatenate((rows[low], rows[~(low | high)], rows[high]))
+        todo += [(a, m, depth), (m, n, depth + 1), (n, b, depth)]
     return order
 
 
+def big_endian(rows: np.ndarray) -> list[np.ndarray]:
+    """Columns of 8-byte words of a byte matrix, so that words compare as the bytes do."""
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    return list(np.ascontiguousarray(wide.view(">u8").astype(np.uint64).T))
+
+
+def unequal(keys: list[np.ndarray]) -> np.ndarray:
+    """Whether each row of sorted keys differs from the one before."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    return new
+
+
 def splitters(sample: list[np.ndarray], buckets: int) -> list[np.ndarray]:
     """``buckets`` - 1 keys that cut the sorted sample evenly."""
-    order = multikey_sort(sample)
+    order = multikey_quicksort(sample)
     at = (np.arange(1, buckets) * len(order)) // buckets if len(order) else np.zeros(0, np.int64)
     return [k[order[at]] for k in sample]
 
@@ -132,24 +192,35 @@ def bucket_of(keys: list[np.ndarray], cuts: list[np.ndarray]) -> np.ndarray:
     """Number of splitters at or below each key, in lexicographic order."""
     low = np.searchsorted(cuts[0], keys[0], "left")
     high = np.searchsorted(cuts[0], keys[0], "right")
-    found = low.copy()
-    rows = np.flatnonzero(low < high)  # only keys whose first part is a splitter's
-    step = 0
+    rows = np.flatnonzero(low < high)  # keys whose first part is a splitter's: bisection on all parts
     while len(rows):
-        at = low[rows] + step
+        at = (low[rows] + high[rows]) // 2
         over, tie = np.zeros(len(rows), bool), np.ones(len(rows), bool)
         for k, c in zip(keys[1:], cuts[1:], strict=True):
             over |= tie & (k[rows] > c[at])
             tie &= k[rows] == c[at]
-        rows = rows[over | tie]
-        found[rows] += 1
-        step += 1
-        rows = rows[low[rows] + step < high[rows]]
-    return found.astype(np.int32)
+        above = over | tie
+        low[rows[above]], high[rows[~above]] = at[above] + 1, at[~above]
+        rows = rows[low[rows] < high[rows]]
+    return low.astype(np.int32)
 
 
-ANCHOR = "bucket int, g long, c long, doc long, pos long"
-WINDOW = "bucket int, h long, doc long, pos long"
+def _at_cut(bucket: np.ndarray, keys: list[np.ndarray], cuts: list[np.ndarray]) -> np.ndarray:
+    """Whether a row's first key parts are those of the splitter on either side of its bucket."""
+    found = np.zeros(len(bucket), bool)
+    n = len(cuts[0])
+    for side in (bucket - 1, bucket):
+        there = (side >= 0) & (side < n)
+        at = np.clip(side, 0, max(n - 1, 0))
+        for k, c in zip(keys, cuts, strict=False):
+            there &= (k == c[at]) if n else False
+        found |= there
+    return found
+
+
+SEED = "bucket int, g long, doc long, pos long"
+SUFFIX = "bucket int, lead long, g long, doc long, pos long, shape int, bytes binary"
+WINDOW = "bucket int, bytes binary, doc long, pos long"
 
 
 def _documents(batch: pa.RecordBatch, p: SuffixParams) -> Iterator[tuple[np.ndarray, np.ndarray, Windows, np.ndarray]]:
@@ -161,103 +232,247 @@ def _documents(batch: pa.RecordBatch, p: SuffixParams) -> Iterator[tuple[np.ndar
         yield ids[a:b], copies[a:b], Windows(raw, offsets, p), np.arange(a, b)
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x)
+def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
+    names = [c.split()[0] for c in schema.split(", ")]
+    made = []
+    for column in columns:
+        if column.ndim == 2:  # a byte matrix: one binary value per row
+            offsets = np.arange(len(column) + 1, dtype=np.int32) * column.shape[1]
+            column = pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(column))])
+        made.append(pa.array(column.view(np.int64)) if isinstance(column, np.ndarray) and column.dtype == np.uint64 else pa.array(column) if isinstance(column, np.ndarray) else column)
+    return pa.RecordBatch.from_arrays(made, names)
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Byte matrix of a column of binary values of one length."""
+    return np.frombuffer(column.buffers()[2], np.uint8, len(column) * width, column.offset * width).reshape(-1, width) if len(column) else np.zeros((0, width), np.uint8)
 
 
-def _anchor_maker(p: SuffixParams, cuts: list[np.ndarray] | None):
+def _seed_maker(p: SuffixParams, cuts: list[np.ndarray] | None):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, copies, w, _ in _documents(batch, p):
-                at, row = w.anchors()
-                if not len(at):
-                    continue
-                g, c = w.keys(at, row)
-                doc, pos = ids[row], copies[row] + at - w.offsets[row]
-                bucket = bucket_of([g, c, doc, pos], cuts) if cuts else np.zeros(len(g), np.int32)
-                yield pa.RecordBatch.from_arrays([_signed(x) for x in (bucket, g, c, doc, pos)], ["bucket", "g", "c", "doc", "pos"])
+                at, row, _, _ = w.anchors()
+                if len(at):
+                    g, doc, pos = w.hash(at, p.seed), ids[row], copies[row] + at - w.offsets[row]
+                    yield _batch(SEED, bucket_of([g, doc, pos], cuts) if cuts else np.zeros(len(g), np.int32), g, doc, pos)
 
     return make
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Columns of each bucket of a stream that is sorted by bucket; the first two as unsigned."""
-    key, parts = None, []
+def _repeated_seeds(cuts: list[np.ndarray]):
+    """(doc, pos) of grams that occur again or that a splitter cuts, from a stream sorted by bucket and gram."""
 
-    def columns():
-        table = pa.Table.from_batches(parts)
-        return [table.column(c).to_numpy() for c in names]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, again = None, False  # the last row so far, and whether it equals the one before
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c).to_numpy() for c in ("bucket", "g", "doc", "pos")]
+            if held is not None:
+                columns = [np.concatenate((h, c)) for h, c in zip(held, columns, strict=True)]
+            bucket, g, doc, pos = columns
+            same = (g[1:] == g[:-1]) & (bucket[1:] == bucket[:-1])
+            live = np.append(same, False) | np.concatenate(([again], same)) | _at_cut(bucket, [g.view(np.uint64)], cuts)
+            held, again = [c[-1:] for c in columns], bool(same[-1]) if len(same) else again
+            yield pa.RecordBatch.from_arrays([pa.array(doc[:-1][live[:-1]]), pa.array(pos[:-1][live[:-1]])], ["doc", "pos"])
+        if held is not None and (again or _at_cut(held[0], [held[1].view(np.uint64)], cuts)[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(held[2]), pa.array(held[3])], ["doc", "pos"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        b = batch.column("bucket").to_numpy()
-        cuts = [0, *(np.flatnonzero(b[1:] != b[:-1]) + 1).tolist(), len(b)]
-        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            if b[s] != key:
-                if parts:
-                    yield key, columns()
-                key, parts = int(b[s]), []
-            parts.append(batch.slice(s, e - s))
-    if parts:
-        yield key, columns()
-
-
-def _anchor_sorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, pos, covered): repeated anchors, covered or open, of each bucket."""
-    for _, (g, c, doc, pos) in _by_bucket(batches, ["g", "c", "doc", "pos"]):
-        g, c = g.view(np.uint64), c.view(np.uint64)
-        order = multikey_sort([g, c, doc, pos])
-        g, c, doc, pos = g[order], c[order], doc[order], pos[order]
-        new_g = np.concatenate(([True], g[1:] != g[:-1]))
-        new_c = new_g | np.concatenate(([True], c[1:] != c[:-1]))
-        group = np.cumsum(new_g) - 1
-        kinds = np.bincount(group, new_c)[group]
-        edge = (group == 0) | (group == group[-1])
-        covered = ~new_c
-        keep = covered | (kinds > 1) | edge
-        yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(pos[keep]), pa.array(covered[keep])], ["doc", "pos", "covered"])
+    return run
 
 
-def _window_maker(p: SuffixParams, cuts: list[np.ndarray] | None):
-    """Windows of the open anchors; rows hold a text and its open positions (with the copy in the high bits)."""
+def _suffix_maker(p: SuffixParams, cuts: list[np.ndarray] | None):
+    """Suffixes at the anchors whose positions (with the copy in the high bits) are listed in ``open``."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            open_at = batch.column("open")
+            listed = batch.column("open")
             for ids, copies, w, rows in _documents(batch, p):
                 marked = np.zeros(w.offsets[-1] + 1, bool)
                 for k, row in enumerate(rows):
-                    marked[w.offsets[k] + (open_at[int(row)].values.to_numpy() & (1 << COPY_BITS) - 1)] = True
-                take = marked[w.anchor]
-                at, row = w.start[take], w.row[take]
-                if not len(at):
-                    continue
-                h, doc, pos = w.hash(at, p.length), ids[row], copies[row] + at - w.offsets[row]
-                bucket = bucket_of([h, doc, pos], cuts) if cuts else np.zeros(len(h), np.int32)
-                yield pa.RecordBatch.from_arrays([_signed(x) for x in (bucket, h, doc, pos)], ["bucket", "h", "doc", "pos"])
+                    marked[w.offsets[k] + (listed[int(row)].values.to_numpy() & (1 << COPY_BITS) - 1)] = True
+                anchors = w.anchors()
+                take = marked[anchors[0]]
+                at, row, start, many = (x[take] for x in anchors)
+                for a in range(0, len(at), 1 << 14):
+                    k = slice(a, a + (1 << 14))
+                    reached = w.reached(start[k], many[k])
+                    before = at[k] - start[k]
+                    place = np.arange(len(reached))[:, None]
+                    [lead] = big_endian(reached[place, before[:, None] + np.arange(8)])
+                    g, doc, pos = w.hash(at[k], p.seed), ids[row[k]], copies[row[k]] + start[k] - w.offsets[row[k]]
+                    bucket = bucket_of([lead, g, doc, pos], cuts) if cuts else np.zeros(len(g), np.int32)
+                    yield _batch(SUFFIX, bucket, lead, g, doc, pos, (before << 8 | many[k]).astype(np.int32), reached)
 
     return make
 
 
-def _window_sorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated windows (edge null) of each bucket, and its first and last suffix (edge = bucket)."""
-    for bucket, (h, doc, pos) in _by_bucket(batches, ["h", "doc", "pos"]):
-        h = h.view(np.uint64)
-        order = multikey_sort([h, doc, pos])
-        h, doc, pos = h[order], doc[order], pos[order]
-        again = np.concatenate(([False], h[1:] == h[:-1]))
-        n = int(again.sum())
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate((doc[again], doc[:1]))),
-                pa.array(np.concatenate((pos[again], pos[:1]))),
-                pa.array([None] * n + [bucket], pa.int32()),
-                pa.array([None] * n + [int(h[:1].view(np.int64)[0])], pa.int64()),
-                pa.array([None] * n + [int(h[-1:].view(np.int64)[0])], pa.int64()),
-            ],
-            ["doc", "pos", "edge", "first", "last"],
-        )
+def _runs(batches: Iterator[pa.RecordBatch], p: SuffixParams) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """Runs of a stream sorted by bucket, lead and gram, with whether a run is part of one key's rows.
+
+    A run holds all rows of its keys, and at most ``run_bytes``; a key with more rows is cut.
+    """
+    most = max(1, p.run_bytes // p.width)
+    parts, held, cut = [], 0, False
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            if batch.num_rows:
+                parts.append(batch)
+                held += batch.num_rows
+            if held <= most:
+                continue
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        ends = np.append(np.flatnonzero(unequal([table.column(c).to_numpy() for c in ("bucket", "lead", "g")])), table.num_rows)
+        full = len(ends) - 1 - (batch is not None)  # keys that are here as a whole, but for the first one's start
+        k = 0
+        while k < full:
+            to = int(np.searchsorted(ends, ends[k] + most, "right")) - 1
+            if (k == 0 and cut) or to <= k:
+                yield from ((table.slice(a, min(most, ends[k + 1] - a)), True) for a in range(ends[k], ends[k + 1], most))
+                k += 1
+            else:
+                to = min(to, full)
+                yield table.slice(ends[k], ends[to] - ends[k]), False
+                k = to
+        cut = cut and not full
+        rest = table.slice(ends[full]) if batch is not None else table.slice(0, 0)
+        if rest.num_rows > most:
+            yield from ((rest.slice(a, most), True) for a in range(0, rest.num_rows, most))
+            rest, cut = rest.slice(0, 0), True
+        parts, held = [rest] if rest.num_rows else [], rest.num_rows
+
+
+FOUND = "doc long, pos long, size long, shape int, bytes binary"
+
+
+def _found(doc: np.ndarray, pos: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    n = len(doc)
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(pos), pa.array(size.astype(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc", "pos", "size", "shape", "bytes"])
+
+
+def _window_words(flat: np.ndarray, at: np.ndarray, length: int) -> list[np.ndarray]:
+    """Words of the ``length`` bytes at each place of a flat byte array."""
+    return big_endian(np.lib.stride_tricks.sliding_window_view(flat, length)[at])
+
+
+def _repeated_windows(flat, at, many, doc, pos, group, p: SuffixParams, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Repeated windows of suffixes that share a gram, joined to spans; ``group`` ascends."""
+    edges = np.append(np.flatnonzero(np.diff(group, prepend=group[0] - 1)), len(group))
+    total = np.concatenate(([0], np.cumsum(many)))
+    k = 0
+    while k < len(edges) - 1:  # whole groups, some ``most`` windows at a time
+        to = max(k + 1, int(np.searchsorted(total[edges], total[edges[k]] + most, "right")) - 1)
+        rows = np.arange(edges[k], edges[to])
+        k = to
+        row = np.repeat(rows, many[rows])
+        step = np.arange(len(row)) - np.repeat(total[rows] - total[rows[0]], many[rows])
+        words = _window_words(flat, at[row] + step, p.length)
+        order = multikey_quicksort([*words, doc[row], pos[row] + step])
+        again = np.zeros(len(row), bool)
+        again[order] = ~unequal([w[order] for w in words])
+        hit = np.flatnonzero(again)
+        if not len(hit):
+            continue
+        first = np.flatnonzero(np.concatenate(([True], (np.diff(hit) != 1) | (row[hit[1:]] != row[hit[:-1]]))))
+        size = np.diff(np.append(first, len(hit))) - 1 + p.length
+        yield _found(doc[row[hit[first]]], pos[row[hit[first]]] + step[hit[first]], size)
+
+
+def _suffix_sorter(p: SuffixParams, cuts: list[np.ndarray]):
+    """Spans of repeats, and the suffixes that are not decided here (with their bytes)."""
+    lead, wide = 56, 256  # the anchor's left side is padded to whole words, and rows to one length
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, part in _runs(batches, p):
+            yield from decide(table, part)
+
+    def decide(table: pa.RecordBatch, part: bool) -> Iterator[pa.RecordBatch]:
+        doc, pos, shape = (table.column(c).to_numpy() for c in ("doc", "pos", "shape"))
+        keys = [table.column(c).to_numpy().view(np.uint64) for c in ("lead", "g")]
+        reached = _matrix(table.column("bytes"), p.width)
+        open_ = np.ones(len(doc), bool) if part else _at_cut(table.column("bucket").to_numpy(), keys, cuts)
+        before, many = (shape >> 8).astype(np.int64), (shape & 255).astype(np.int64)
+        rows = np.zeros((len(doc), wide), np.uint8)
+        rows[:, lead : lead + p.width] = reached
+        flat, base = rows.reshape(-1), np.arange(len(doc)) * wide
+        right = _window_words(flat, base + lead + before, p.length)
+        words = [*right, *_window_words(flat, base + before, lead)]
+        order = multikey_quicksort([*words, shape, doc, pos])
+        sorted_ = [w[order] for w in words]
+        new = unequal([*sorted_, shape[order]])
+        # the gram alone: its whole words and the rest of the last one
+        gram = right[: p.seed // 8] + ([right[p.seed // 8] >> np.uint64(64 - 8 * (p.seed % 8))] if p.seed % 8 else [])
+        group = np.cumsum(unequal([w[order] for w in gram])) - 1
+        kinds = np.bincount(group, new)[group]
+        again = order[~new]
+        yield _found(doc[again], pos[again], many[again] + p.length - 1)
+        undecided = order[new & open_[order]]
+        if len(undecided):
+            yield _batch(FOUND, doc[undecided], pos[undecided], np.zeros(len(undecided), np.int64), shape[undecided], reached[undecided])
+        here = new & ~open_[order] & (kinds > 1)
+        rows_here = order[here]
+        if len(rows_here):
+            yield from _repeated_windows(flat, base[rows_here] + lead, many[rows_here], doc[rows_here], pos[rows_here], group[here], p)
+
+    return run
+
+
+def _window_maker(p: SuffixParams, cuts: list[np.ndarray] | None):
+    """All windows of undecided suffixes."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1 << 12):
+                rows = batch.slice(a, 1 << 12)
+                many = rows.column("shape").to_numpy() & 255
+                flat = _matrix(rows.column("bytes"), p.width).reshape(-1)
+                row = np.repeat(np.arange(rows.num_rows), many)
+                step = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                strings = np.lib.stride_tricks.sliding_window_view(flat, p.length)[row * p.width + step]
+                doc, pos = rows.column("doc").to_numpy()[row], rows.column("pos").to_numpy()[row] + step
+                bucket = bucket_of([*big_endian(strings), doc, pos], cuts) if cuts else np.zeros(len(row), np.int32)
+                yield _batch(WINDOW, bucket, strings, doc, pos)
+
+    return make
+
+
+EDGE = "doc long, pos long, edge int, first binary, last binary"
+
+
+def _window_sorter(p: SuffixParams):
+    """Repeated windows (edge null), and each bucket's first window with its first and last string (edge = bucket), from a sorted stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # bucket and string of the last row
+        edge = None  # [doc, pos, bucket, first string] of the current bucket
+
+        def edges(rows):
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in EDGE.split(", ")])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket, doc, pos = (batch.column(c).to_numpy() for c in ("bucket", "doc", "pos"))
+            strings = _matrix(batch.column("bytes"), p.length)
+            same = np.concatenate(([held is not None and held == (bucket[0], strings[0].tobytes())], (strings[1:] == strings[:-1]).all(axis=1) & (bucket[1:] == bucket[:-1])))
+            n = int(same.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(doc[same]), pa.array(pos[same]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], [c.split()[0] for c in EDGE.split(", ")])
+            done = []
+            for k in np.flatnonzero(np.diff(bucket, prepend=held[0] if held else -1)).tolist():
+                if edge:
+                    done.append((*edge, strings[k - 1].tobytes() if k else held[1]))
+                edge = (int(doc[k]), int(pos[k]), int(bucket[k]), strings[k].tobytes())
+            held = (bucket[-1], strings[-1].tobytes())
+            if done:
+                yield edges(done)
+        if edge:
+            yield edges([(*edge, held[1])])
+
+    return run
 
 
 def _merger(p: SuffixParams):
@@ -315,7 +530,7 @@ def _cutter(with_text: bool):
                 data, n_removed, n_spans, parts, at = memoryview(raw), 0, 0, [], 0
                 if spans.is_valid:
                     s, e = np.frombuffer(spans.as_buffer(), "<i8").reshape(2, -1)
-                    stop = np.minimum(np.maximum.accumulate(e), len(data))
+                    stop = np.maximum.accumulate(e)
                     fresh = np.flatnonzero(np.concatenate(([True], s[1:] > stop[:-1])))
                     s, e = s[fresh], stop[np.append(fresh[1:] - 1, len(stop) - 1)]
                     n_removed, n_spans = int((e - s).sum()), len(s)
@@ -334,26 +549,22 @@ def _cutter(with_text: bool):
     return cut
 
 
-def _release(spark) -> None:
-    """Let Spark delete the shuffle files of finished steps, which it does when the driver collects garbage."""
-    import gc
-    import time
-
-    for _ in range(2):  # the second collection finds what the first one's cleaning let go
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def _sampled(df: DataFrame, maker, schema: str, names: list[str], p: SuffixParams, buckets: int) -> list[np.ndarray]:
+    """Splitters from the keys that ``maker`` makes of a sample of documents, at most ``per_bucket`` for each."""
+    rows = df.mapInArrow(maker(p, None), schema).select(*names).limit(p.per_bucket * buckets).toArrow()
+    columns = []
+    for name in names:
+        if name == "bytes":
+            columns += big_endian(_matrix(rows.column(name).combine_chunks() if rows.num_rows else pa.array([], pa.binary()), p.length))
+        else:
+            values = rows.column(name).to_numpy()
+            columns.append(values.view(np.uint64) if name in ("g", "lead") else values)
+    return splitters(columns, buckets)
 
 
-def _sampled(df: DataFrame, key: str, share: float, p: SuffixParams, maker, schema: str, names: list[str], buckets: int) -> list[np.ndarray]:
-    """Splitters from the keys of a share of the documents, at most ``sample`` of them."""
-    part = df.filter(F.pmod(F.xxhash64(F.lit(9), key), F.lit(1 << 20)) < max(1, int(share * (1 << 20))))
-    rows = part.mapInArrow(maker(p, None), schema).drop("bucket").limit(p.sample).toArrow()
-    columns = [rows.column(c).to_numpy() for c in names]
-    columns = [c.view(np.uint64) if n in "gch" else c for n, c in zip(names, columns, strict=True)]
-    if not rows.num_rows:
-        return [np.zeros(0, c.dtype) for c in columns]
-    return splitters(columns, buckets)
+def _share(key: str, share: float):
+    """A share of the rows by the hash of a column."""
+    return F.pmod(F.xxhash64(F.lit(9), key), F.lit(1 << 20)) < max(1, int(min(1.0, share) * (1 << 20)))
 
 
 def remove_repeats(docs: DataFrame, params: SuffixParams | None = None, with_text: bool = False) -> DataFrame:
@@ -373,50 +584,52 @@ def remove_repeats(docs: DataFrame, params: SuffixParams | None = None, with_tex
     if many.isEmpty():
         keyed = slim.withColumn("copy", F.lit(0))
     else:  # repeated ids are numbered; the rest is left where it is
-        from pyspark.sql import Window
-
         many = materialise(many, "suffix-ids")
         numbered = slim.join(many, "doc", "left_semi").withColumn("copy", F.row_number().over(Window.partitionBy("doc").orderBy("text")) - 1)
         keyed = slim.join(many, "doc", "left_anti").withColumn("copy", F.lit(0)).unionByName(numbered)
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(p.least_buckets, total // p.bucket_bytes)
+    buckets = p.buckets(total, p.least_buckets)
+    parts = min(buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4))
     texts = keyed.select("doc", "copy", "text")
 
-    # about 1 byte in 25 is an anchor
-    share = min(1.0, 25 * p.sample / max(total, 1))
-    cuts = _sampled(texts, "doc", share, p, _anchor_maker, ANCHOR, ["g", "c", "doc", "pos"], buckets)
-    anchors = texts.mapInArrow(_anchor_maker(p, cuts), ANCHOR)
-    parts = min(buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4))
-    repeated = materialise(anchors.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_anchor_sorter, "doc long, pos long, covered boolean"), "suffix-anchors")
-    _release(spark)
-
-    shift = F.shiftright("pos", COPY_BITS).cast("int").alias("copy")
-    open_at = repeated.filter("NOT covered").select("doc", shift, "pos").groupBy("doc", "copy").agg(F.collect_list("pos").alias("open"))
-    open_at = materialise(open_at, "suffix-open")
-    n_open = open_at.agg(F.sum(F.size("open"))).first()[0] or 0
-    with_open = texts.join(open_at.hint("merge"), ["doc", "copy"])  # sizes are not bounded: no broadcast
-    # an open anchor has about 25 windows
-    picked = open_at.filter(F.pmod(F.xxhash64(F.lit(9), "doc"), F.lit(1 << 20)) < max(1, int(min(1.0, p.sample / max(25 * n_open, 1)) * (1 << 20))))
-    cuts = _sampled(texts.join(F.broadcast(picked.limit(p.sample)), ["doc", "copy"]), "doc", 1.0, p, _window_maker, WINDOW, ["h", "doc", "pos"], buckets)
-    windows = with_open.mapInArrow(_window_maker(p, cuts), WINDOW)
-    sorted_ = materialise(
-        windows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_window_sorter, "doc long, pos long, edge int, first long, last long"), "suffix-windows"
-    )
-    _release(spark)
-    # one row per bucket: a bucket's first suffix repeats if the bucket before ends with the same string
-    edges = sorted(sorted_.filter("edge IS NOT NULL").collect(), key=lambda r: r.edge)
-    across = [(b.doc, b.pos) for a, b in zip(edges, edges[1:], strict=False) if a.last == b.first]
-    across = spark.createDataFrame(across, "doc long, pos long")
-
-    reach = p.length - p.seed
-    inside = F.col("pos").bitwiseAND(F.lit((1 << COPY_BITS) - 1))
-    # windows on a covered anchor start up to ``reach`` before it and end up to ``length`` after; cut to the text later
-    from_anchors = repeated.filter("covered").select("doc", (F.col("pos") - F.least(F.lit(reach), inside)).alias("pos"), (F.least(F.lit(reach), inside) + p.length).alias("size"))
-    from_windows = sorted_.filter("edge IS NULL").select("doc", "pos").unionByName(across).select("doc", "pos", F.lit(p.length).cast("long").alias("size"))
-    spans = from_anchors.unionByName(from_windows).withColumn("copy", F.shiftright("pos", COPY_BITS))
+    # 1. anchors whose gram repeats; about 1 byte in 25 is an anchor
+    cuts = _sampled(texts.filter(_share("doc", 25 * p.per_bucket * buckets / max(total, 1))), _seed_maker, SEED, ["g", "doc", "pos"], p, buckets)
+    seeds = texts.mapInArrow(_seed_maker(p, cuts), SEED).repartition(parts, "bucket").sortWithinPartitions("bucket", "g")
+    repeated = materialise(seeds.mapInArrow(_repeated_seeds(cuts), "doc long, pos long"), "suffix-seeds")
+    copy = F.shiftright("pos", COPY_BITS).cast("int").alias("copy")
+    listed = materialise(repeated.select("doc", copy, "pos").groupBy("doc", "copy").agg(F.collect_list("pos").alias("open")), "suffix-anchors")
+    release(repeated)
+    n_docs, n_open = listed.agg(F.count(F.lit(1)), F.sum(F.size("open"))).first()
+
+    # 2. suffixes at those anchors; documents for the splitters are at most the keys wanted
+    wanted = p.per_bucket * buckets
+    picked = listed.filter(_share("doc", wanted / max(n_open or 0, 1))).limit(wanted)
+    cuts = _sampled(texts.join(F.broadcast(picked), ["doc", "copy"]), _suffix_maker, SUFFIX, ["lead", "g", "doc", "pos"], p, buckets)
+    marked = texts.join(listed.hint("merge"), ["doc", "copy"])  # sizes are not bounded: no broadcast
+    suffixes = marked.mapInArrow(_suffix_maker(p, cuts), SUFFIX).repartition(parts, "bucket").sortWithinPartitions("bucket", "lead", "g")
+    found = materialise(suffixes.mapInArrow(_suffix_sorter(p, cuts), FOUND), "suffix-found")
+    release(listed)
+
+    # 3. windows of the grams that a cut parts
+    undecided = found.filter("bytes IS NOT NULL").select("doc", "pos", "shape", "bytes")
+    n_rows, n_windows = undecided.agg(F.count(F.lit(1)), F.sum(F.col("shape").bitwiseAND(F.lit(255)))).first()
+    spans = found.filter("bytes IS NULL").select("doc", "pos", "size")
+    if n_rows:
+        few = p.buckets(n_windows * p.length, min(parts, n_rows))
+        cuts = _sampled(undecided.filter(_share("pos", 2 * p.per_bucket * few / n_windows)), _window_maker, WINDOW, ["bytes", "doc", "pos"], p, few)
+        windows = undecided.mapInArrow(_window_maker(p, cuts), WINDOW).repartition(min(few, parts), "bucket").sortWithinPartitions("bucket", "bytes", "doc", "pos")
+        windows = materialise(windows.mapInArrow(_window_sorter(p), EDGE), "suffix-windows")
+        # one row per bucket, at most ``most_buckets``: a bucket's first window repeats if the bucket before ends with the same string
+        ends = windows.filter("edge IS NOT NULL").withColumn("ahead", F.lag("last").over(Window.orderBy("edge")))
+        across = ends.filter("first = ahead").select("doc", "pos")
+        size = F.lit(p.length).cast("long").alias("size")
+        spans = spans.unionByName(windows.filter("edge IS NULL").select("doc", "pos", size)).unionByName(across.select("doc", "pos", size))
+
+    # 4. intervals per document
+    spans = spans.withColumn("copy", F.shiftright("pos", COPY_BITS))
     merged = spans.repartition("doc", "copy").sortWithinPartitions("doc", "pos").mapInArrow(_merger(p), "doc long, copy int, spans binary")
     merged = materialise(merged, "suffix-spans")
-    _release(spark)
+    release(found)
     joined = keyed.join(merged.hint("merge"), ["doc", "copy"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cutter(with_text), CUT + ", kept binary" * with_text)
 

@@ -128,22 +128,57 @@ def brute_repeats(rows):
     return collections.Counter(out.values())
 
 
-@pytest.mark.parametrize("least", [96, 3])
-def test_suffix_dedup(spark, texts, least):
-    params = suffix_dedup.SuffixParams(least_buckets=least, sample=2000)
+@pytest.mark.parametrize(("least", "run"), [(96, 16 << 20), (3, 16 << 20), (2, 3000)])
+def test_suffix_dedup(spark, texts, least, run):
+    params = suffix_dedup.SuffixParams(least_buckets=least, run_bytes=run)
     got = suffix_dedup.remove_repeats(docs(spark, [(i, t, "s") for i, t in texts]), params).collect()
     assert collections.Counter(tuple(r) for r in got) == brute_repeats(texts)
 
 
+@pytest.mark.parametrize("run", [16 << 20, 5000])
+def test_suffix_dedup_compares_bytes_where_hashes_agree(spark, texts, run, monkeypatch):
+    # hashes of 3 bits: nearly all of them collide; spark's workers are forked after the patch is pickled into the closures
+    weak = lambda self, at, size: (self.sums[at + size] - self.sums[at]) * self.down[at] >> np.uint64(61) << np.uint64(40)
+    rows = [(i, t) for i, t in texts if len(t or "") < 5000]
+    p = suffix_dedup.SuffixParams(least_buckets=4, run_bytes=run)
+
+    def local(maker, *args):
+        def run(batches):
+            suffix_dedup.Windows.hash = weak
+            yield from maker(*args)(batches)
+
+        return run
+
+    for name in ("_seed_maker", "_suffix_maker"):
+        maker = getattr(suffix_dedup, name)
+        monkeypatch.setattr(suffix_dedup, name, lambda p, cuts, maker=maker: local(maker, p, cuts))
+    spark.conf.set("spark.sql.execution.pyspark.udf.faulthandler.enabled", "true")  # other settings, so other workers than those of other tests
+    try:
+        got = suffix_dedup.remove_repeats(docs(spark, [(i, t, "s") for i, t in rows]), p).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.pyspark.udf.faulthandler.enabled")
+    assert collections.Counter(tuple(r) for r in got) == brute_repeats(rows)
+
+
+def test_suffix_dedup_query(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    got = suffix_dedup.op5_suffix_dedup(spark, folder).collect()
+    assert collections.Counter(tuple(r) for r in got) == brute_repeats(rows)
+
+
 def test_suffix_dedup_empty(spark):
     assert suffix_dedup.remove_repeats(docs(spark, [])).count() == 0
 
 
-def test_bucket_of_and_multikey_sort():
+def test_bucket_of_and_multikey_quicksort(monkeypatch):
     rng = np.random.default_rng(0)
-    keys = [rng.integers(0, n, 500) for n in (4, 3, 50)]
-    order = suffix_dedup.multikey_sort(keys)
-    assert [tuple(k[i] for k in keys) for i in order] == sorted(zip(*keys, strict=True))
+    keys = [rng.integers(0, n, 5000) for n in (4, 3, 50)]
+    for small in (4096, 3):
+        monkeypatch.setattr(suffix_dedup, "SMALL_SORT", small)
+        order = suffix_dedup.multikey_quicksort(keys)
+        assert [tuple(k[i] for k in keys) for i in order] == sorted(zip(*keys, strict=True))
+    keys = [k[:500] for k in keys]
     cuts = suffix_dedup.splitters([k[::5] for k in keys], 9)
     rows, marks = list(zip(*keys, strict=True)), list(zip(*cuts, strict=True))
     assert suffix_dedup.bucket_of(keys, cuts).tolist() == [sum(m <= r for m in marks) for r in rows]
