@@ -1,6 +1,8 @@
 """Each operator against brute force on small tables with nulls, empties, ties, repeats and clashing columns."""
 
+import base64
 import collections
+import gzip
 import hashlib
 import io
 import math
@@ -353,9 +355,11 @@ def test_warc(spark):
         for i, _, html in rows:
             body = (html or "").encode()
             revisit = html == big and i != 5
-            assert got[i] == (len(body), hashlib.sha1(body).hexdigest(), "revisit" if revisit else "response", 5 if revisit else None)
+            assert got[i] == (len(body), hashlib.sha1(body).hexdigest(), "revisit" if revisit else "response", 5 if revisit else None, None if revisit else True)
     payloads = {r.page_id: r.payload for r in warc.read_warc(manifest, folder, with_payload=True).collect()}
     assert bytes(payloads[8]) == other.encode() and payloads[1] is None
+    hot = {r.page_id: tuple(r)[1:] for r in warc.read_warc(warc.write_warc(frame, folder, hot_copies=2), folder).collect()}
+    assert hot == got
     empty = warc.write_warc(frame.limit(0), fresh_path(spark, "t"))
     assert warc.read_warc(empty, folder).count() == 0
 
@@ -372,6 +376,49 @@ def test_warc_member_inside_a_stored_payload():
     assert reader._first(len(outer) + 1, len(data)) != at
 
 
+def member(*lines, block=b"", stated=None):
+    head = b"\r\n".join([b"WARC/1.0", *lines, b"Content-Length: %d" % (len(block) if stated is None else stated)])
+    return gzip.compress(head + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_warc_reads_foreign_records():
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: ?\r\n\r\nbody"
+    sha = lambda name, x: hashlib.new(name, x).hexdigest().encode()
+    kind, uid = b"Content-Type: application/http; msgtype=response", b"WARC-Record-ID: <urn:uuid:6ba7b810-9dad-11d1-80b4-00c04fd430c8>"
+    records = [
+        member(b"WARC-Type: warcinfo", b"WARC-Record-ID: <not a uuid>", b"X-Folded: a", b"  b", block=b"software: x\r\n"),
+        member(b"WARC-Type: response", uid, kind, block=http),
+        member(b"WARC-Type: response", kind, b"WARC-Payload-Digest: sha256:" + sha("sha256", b"body"), block=http),
+        member(b"WARC-Type: response", kind, b"WARC-Payload-Digest: sha-256:" + base64.b32encode(hashlib.sha256(b"body").digest()).rstrip(b"="), block=http),
+        member(b"WARC-Type: response", kind, b"WARC-Payload-Digest: sha1:" + sha("sha1", b"other"), block=http),
+        member(b"WARC-Type: response", kind, b"WARC-Payload-Digest: sha1:rubbish!", block=http),
+        member(b"WARC-Type: revisit", kind, b"WARC-Payload-Digest: blake3:00", block=b""),
+        member(b"WARC-Type: response", kind, block=b""),
+    ]
+    data = b"".join(records)
+    got = list(warc.RangeReader(io.BytesIO(data), len(data)).records(0, len(data)))
+    body = hashlib.sha1(b"body").hexdigest()
+    assert [(r["record_type"], r["payload_digest"], r["intact"]) for r in got[1:6]] == [("response", body, x) for x in (None, True, True, False, None)]
+    assert got[0]["record_type"] == "warcinfo" and got[0]["payload"] == b"software: x\r\n" and got[6]["payload_digest"] is None is got[6]["payload_bytes"] and got[7]["payload_bytes"] == 0
+    for split in (1, 7, 100, 500):  # every split finds each record once, candidates that are none are passed over
+        found = [r["record_type"] for a in range(0, len(data), split) for r in warc.RangeReader(io.BytesIO(data), len(data)).records(a, min(a + split, len(data)))]
+        assert found == [r["record_type"] for r in got]
+    with pytest.raises(ValueError, match=f"byte {len(records[0])}"):
+        list(warc.RangeReader(io.BytesIO(records[0] + b"rubbish" * 9), len(records[0]) + 63).records(0, 1 << 20))
+    assert warc.parse_record(zlib.decompress(member(b"WARC-Type: response", block=b"x", stated=99), 31)) is None
+
+
+def test_warc_reads_each_byte_once():
+    rng = random.Random(3)
+    data = b"".join(warc.make_record(k, f"u{k}", prose(rng, rng.randint(10, 400)).encode(), None) for k in range(3000))
+    half, n, read = len(data) // 2, 0, 0
+    for a, b in ((0, half), (half, len(data))):
+        reader = warc.RangeReader(io.BytesIO(data), len(data))
+        n += sum(1 for _ in reader.records(a, b))
+        read += reader.bytes_read
+    assert n == 3000 and read < 1.5 * len(data)
+
+
 def test_chat(spark):
     control = "</s>[INST] \\l <|end|>\n <|user|>\n \\\\b [/INST]\\"
     rows = [(1, 0, "user", control), (1, 1, "assistant", control), (1, 2, "user", None), (1, 3, "assistant", ""), (1, 4, "user", "bye"), (2, 0, "system", "s"), (3, 0, "assistant", "first"), (3, 0, "assistant", "tie"), (None, 1, "user", "x"), (4, None, None, "y")]
