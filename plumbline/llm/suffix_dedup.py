@@ -11,9 +11,9 @@ thinned without losing a match:
    equal anchors at equal offsets, so only anchors whose gram repeats matter.
    They are found by hash; a false match of hashes only keeps a suffix too many.
 2. Suffixes at those anchors carry their bytes - all that a window on the anchor
-   reaches - and are range-partitioned by sampled splitters over (leading 8
-   bytes, gram's hash, document, position).  A bucket is read in runs of bounded
-   size; a run is sorted by a multikey quicksort on the bytes.  Of suffixes with
+   reaches - and are range-partitioned by sampled splitters over (leading bytes
+   with some bits of the gram's hash, document, position).  A bucket is read in
+   runs of bounded size; a run is sorted by a multikey quicksort on the bytes.  Of suffixes with
    equal bytes the first stands for all, the others are repeats as a whole; where
    the gram's surroundings differ, the windows are sorted in the same way and
    compared with their predecessors.
@@ -43,6 +43,7 @@ from .storage import materialise, release
 from .wordgrams import _TABLE, byte_chunks, mix64, powers, text_bytes
 
 COPY_BITS = 40
+HASH_BITS = np.uint64(24)
 SMALL_SORT = 4096
 
 
@@ -132,10 +133,15 @@ def _refined(keys: list[np.ndarray], order: np.ndarray, depth: int) -> np.ndarra
         if not len(rows):
             break
         run, word = np.cumsum(~same)[rows], key[order[rows]]
-        if ((word[1:] != word[:-1]) & (run[1:] == run[:-1])).any():
+        apart = (word[1:] != word[:-1]) & (run[1:] == run[:-1])
+        if apart.any():  # only runs that hold different words
+            mixed = np.zeros(run[-1] + 1, bool)
+            mixed[run[1:][apart]] = True
+            k = mixed[run]
+            rows, run, word = rows[k], run[k], word[k]
             order[rows] = order[rows][np.lexsort((word, run))]
-        word = key[order]
-        same[1:] &= word[1:] == word[:-1]
+            word = key[order]
+            same[1:] &= word[1:] == word[:-1]
     return order
 
 
@@ -205,21 +211,16 @@ def bucket_of(keys: list[np.ndarray], cuts: list[np.ndarray]) -> np.ndarray:
     return low.astype(np.int32)
 
 
-def _at_cut(bucket: np.ndarray, keys: list[np.ndarray], cuts: list[np.ndarray]) -> np.ndarray:
-    """Whether a row's first key parts are those of the splitter on either side of its bucket."""
-    found = np.zeros(len(bucket), bool)
-    n = len(cuts[0])
-    for side in (bucket - 1, bucket):
-        there = (side >= 0) & (side < n)
-        at = np.clip(side, 0, max(n - 1, 0))
-        for k, c in zip(keys, cuts, strict=False):
-            there &= (k == c[at]) if n else False
-        found |= there
-    return found
+def _at_cut(bucket: np.ndarray, key: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Whether a row's first key part is that of the splitter on either side of its bucket."""
+    if not len(cuts):
+        return np.zeros(len(bucket), bool)
+    below, above = np.clip(bucket - 1, 0, None), np.minimum(bucket, len(cuts) - 1)
+    return (bucket > 0) & (key == cuts[below]) | (bucket < len(cuts)) & (key == cuts[above])
 
 
 SEED = "bucket int, g long, doc long, pos long"
-SUFFIX = "bucket int, lead long, g long, doc long, pos long, shape int, bytes binary"
+SUFFIX = "bucket int, key long, doc long, pos long, shape int, bytes binary"
 WINDOW = "bucket int, bytes binary, doc long, pos long"
 
 
@@ -261,7 +262,7 @@ def _seed_maker(p: SuffixParams, cuts: list[np.ndarray] | None):
 
 
 def _repeated_seeds(cuts: list[np.ndarray]):
-    """(doc, pos) of grams that occur again or that a splitter cuts, from a stream sorted by bucket and gram."""
+    """(doc, pos) of grams that occur again or that a splitter cuts, from a stream sorted by gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, again = None, False  # the last row so far, and whether it equals the one before
@@ -272,11 +273,11 @@ def _repeated_seeds(cuts: list[np.ndarray]):
             if held is not None:
                 columns = [np.concatenate((h, c)) for h, c in zip(held, columns, strict=True)]
             bucket, g, doc, pos = columns
-            same = (g[1:] == g[:-1]) & (bucket[1:] == bucket[:-1])
-            live = np.append(same, False) | np.concatenate(([again], same)) | _at_cut(bucket, [g.view(np.uint64)], cuts)
+            same = g[1:] == g[:-1]
+            live = np.append(same, False) | np.concatenate(([again], same)) | _at_cut(bucket, g.view(np.uint64), cuts[0])
             held, again = [c[-1:] for c in columns], bool(same[-1]) if len(same) else again
             yield pa.RecordBatch.from_arrays([pa.array(doc[:-1][live[:-1]]), pa.array(pos[:-1][live[:-1]])], ["doc", "pos"])
-        if held is not None and (again or _at_cut(held[0], [held[1].view(np.uint64)], cuts)[0]):
+        if held is not None and (again or _at_cut(held[0], held[1].view(np.uint64), cuts[0])[0]):
             yield pa.RecordBatch.from_arrays([pa.array(held[2]), pa.array(held[3])], ["doc", "pos"])
 
     return run
@@ -301,15 +302,17 @@ def _suffix_maker(p: SuffixParams, cuts: list[np.ndarray] | None):
                     before = at[k] - start[k]
                     place = np.arange(len(reached))[:, None]
                     [lead] = big_endian(reached[place, before[:, None] + np.arange(8)])
-                    g, doc, pos = w.hash(at[k], p.seed), ids[row[k]], copies[row[k]] + start[k] - w.offsets[row[k]]
-                    bucket = bucket_of([lead, g, doc, pos], cuts) if cuts else np.zeros(len(g), np.int32)
-                    yield _batch(SUFFIX, bucket, lead, g, doc, pos, (before << 8 | many[k]).astype(np.int32), reached)
+                    doc, pos = ids[row[k]], copies[row[k]] + start[k] - w.offsets[row[k]]
+                    # one word, so that the engine sorts by radix: five leading bytes, then hash bits that keep grams apart
+                    key = lead >> HASH_BITS << HASH_BITS | w.hash(at[k], p.seed) >> (np.uint64(64) - HASH_BITS)
+                    bucket = bucket_of([key, doc, pos], cuts) if cuts else np.zeros(len(doc), np.int32)
+                    yield _batch(SUFFIX, bucket, key, doc, pos, (before << 8 | many[k]).astype(np.int32), reached)
 
     return make
 
 
 def _runs(batches: Iterator[pa.RecordBatch], p: SuffixParams) -> Iterator[tuple[pa.RecordBatch, bool]]:
-    """Runs of a stream sorted by bucket, lead and gram, with whether a run is part of one key's rows.
+    """Runs of a stream sorted by key, with whether a run is part of one key's rows.
 
     A run holds all rows of its keys, and at most ``run_bytes``; a key with more rows is cut.
     """
@@ -325,7 +328,7 @@ def _runs(batches: Iterator[pa.RecordBatch], p: SuffixParams) -> Iterator[tuple[
         if not parts:
             return
         table = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        ends = np.append(np.flatnonzero(unequal([table.column(c).to_numpy() for c in ("bucket", "lead", "g")])), table.num_rows)
+        ends = np.append(np.flatnonzero(unequal([table.column("key").to_numpy()])), table.num_rows)
         full = len(ends) - 1 - (batch is not None)  # keys that are here as a whole, but for the first one's start
         k = 0
         while k < full:
@@ -391,9 +394,9 @@ def _suffix_sorter(p: SuffixParams, cuts: list[np.ndarray]):
 
     def decide(table: pa.RecordBatch, part: bool) -> Iterator[pa.RecordBatch]:
         doc, pos, shape = (table.column(c).to_numpy() for c in ("doc", "pos", "shape"))
-        keys = [table.column(c).to_numpy().view(np.uint64) for c in ("lead", "g")]
+        key = table.column("key").to_numpy().view(np.uint64)
         reached = _matrix(table.column("bytes"), p.width)
-        open_ = np.ones(len(doc), bool) if part else _at_cut(table.column("bucket").to_numpy(), keys, cuts)
+        open_ = np.ones(len(doc), bool) if part else _at_cut(table.column("bucket").to_numpy(), key, cuts[0])
         before, many = (shape >> 8).astype(np.int64), (shape & 255).astype(np.int64)
         rows = np.zeros((len(doc), wide), np.uint8)
         rows[:, lead : lead + p.width] = reached
@@ -549,22 +552,30 @@ def _cutter(with_text: bool):
     return cut
 
 
-def _sampled(df: DataFrame, maker, schema: str, names: list[str], p: SuffixParams, buckets: int) -> list[np.ndarray]:
-    """Splitters from the keys that ``maker`` makes of a sample of documents, at most ``per_bucket`` for each."""
-    rows = df.mapInArrow(maker(p, None), schema).select(*names).limit(p.per_bucket * buckets).toArrow()
-    columns = []
+def _sampled(rows: DataFrame, names: list[str], p: SuffixParams, buckets: int) -> list[np.ndarray]:
+    """Splitters from at most ``per_bucket`` keys for each bucket."""
+    rows, columns = rows.select(*names).limit(p.per_bucket * buckets).toArrow(), []
     for name in names:
         if name == "bytes":
             columns += big_endian(_matrix(rows.column(name).combine_chunks() if rows.num_rows else pa.array([], pa.binary()), p.length))
         else:
             values = rows.column(name).to_numpy()
-            columns.append(values.view(np.uint64) if name in ("g", "lead") else values)
+            columns.append(values.view(np.uint64) if name in ("g", "key") else values)
     return splitters(columns, buckets)
 
 
-def _share(key: str, share: float):
-    """A share of the rows by the hash of a column."""
-    return F.pmod(F.xxhash64(F.lit(9), key), F.lit(1 << 20)) < max(1, int(min(1.0, share) * (1 << 20)))
+def _share(share: float, *columns: str):
+    """A share of the rows by the hash of some columns."""
+    return F.pmod(F.xxhash64(F.lit(9), *columns), F.lit(1 << 20)) < max(1, int(min(1.0, share) * (1 << 20)))
+
+
+def _thinned(wanted: int, there: int) -> tuple[float, int]:
+    """Share of the documents, and one in how many of a document's keys, for a sample of ``wanted`` of some ``there`` keys.
+
+    Few keys of many documents: a string's share of the sample is then near its share of all.
+    """
+    one_in = min(64, max(1, there // max(wanted, 1)))
+    return one_in * wanted / max(there, 1), one_in
 
 
 def remove_repeats(docs: DataFrame, params: SuffixParams | None = None, with_text: bool = False) -> DataFrame:
@@ -593,20 +604,25 @@ def remove_repeats(docs: DataFrame, params: SuffixParams | None = None, with_tex
     texts = keyed.select("doc", "copy", "text")
 
     # 1. anchors whose gram repeats; about 1 byte in 25 is an anchor
-    cuts = _sampled(texts.filter(_share("doc", 25 * p.per_bucket * buckets / max(total, 1))), _seed_maker, SEED, ["g", "doc", "pos"], p, buckets)
-    seeds = texts.mapInArrow(_seed_maker(p, cuts), SEED).repartition(parts, "bucket").sortWithinPartitions("bucket", "g")
+    wanted = p.per_bucket * buckets
+    share, one_in = _thinned(wanted // 2, total // 25)
+    sample = texts.filter(_share(share, "doc")).mapInArrow(_seed_maker(p, None), SEED).filter(_share(1 / one_in, "doc", "pos"))
+    cuts = _sampled(sample, ["g", "doc", "pos"], p, buckets)
+    seeds = texts.mapInArrow(_seed_maker(p, cuts), SEED).repartition(parts, "bucket").sortWithinPartitions("g")
     repeated = materialise(seeds.mapInArrow(_repeated_seeds(cuts), "doc long, pos long"), "suffix-seeds")
     copy = F.shiftright("pos", COPY_BITS).cast("int").alias("copy")
     listed = materialise(repeated.select("doc", copy, "pos").groupBy("doc", "copy").agg(F.collect_list("pos").alias("open")), "suffix-anchors")
     release(repeated)
-    n_docs, n_open = listed.agg(F.count(F.lit(1)), F.sum(F.size("open"))).first()
-
-    # 2. suffixes at those anchors; documents for the splitters are at most the keys wanted
-    wanted = p.per_bucket * buckets
-    picked = listed.filter(_share("doc", wanted / max(n_open or 0, 1))).limit(wanted)
-    cuts = _sampled(texts.join(F.broadcast(picked), ["doc", "copy"]), _suffix_maker, SUFFIX, ["lead", "g", "doc", "pos"], p, buckets)
+    n_open = listed.agg(F.sum(F.size("open"))).first()[0] or 0
+
+    # 2. suffixes at those anchors; documents for the splitters are at most as many as the keys wanted
+    share, one_in = _thinned(wanted // 2, n_open)
+    few = F.filter("open", lambda x: F.pmod(F.xxhash64(F.lit(9), "doc", x), F.lit(one_in)) == 0).alias("open")
+    picked = listed.filter(_share(share, "doc")).select("doc", "copy", few).filter(F.size("open") > 0).limit(wanted)
+    sample = texts.join(F.broadcast(picked), ["doc", "copy"]).mapInArrow(_suffix_maker(p, None), SUFFIX)
+    cuts = _sampled(sample, ["key", "doc", "pos"], p, buckets)
     marked = texts.join(listed.hint("merge"), ["doc", "copy"])  # sizes are not bounded: no broadcast
-    suffixes = marked.mapInArrow(_suffix_maker(p, cuts), SUFFIX).repartition(parts, "bucket").sortWithinPartitions("bucket", "lead", "g")
+    suffixes = marked.mapInArrow(_suffix_maker(p, cuts), SUFFIX).repartition(parts, "bucket").sortWithinPartitions("key")
     found = materialise(suffixes.mapInArrow(_suffix_sorter(p, cuts), FOUND), "suffix-found")
     release(listed)
 
@@ -616,7 +632,9 @@ def remove_repeats(docs: DataFrame, params: SuffixParams | None = None, with_tex
     spans = found.filter("bytes IS NULL").select("doc", "pos", "size")
     if n_rows:
         few = p.buckets(n_windows * p.length, min(parts, n_rows))
-        cuts = _sampled(undecided.filter(_share("pos", 2 * p.per_bucket * few / n_windows)), _window_maker, WINDOW, ["bytes", "doc", "pos"], p, few)
+        share, one_in = _thinned(p.per_bucket * few // 2, n_windows)
+        sample = undecided.filter(_share(share, "doc", "pos")).mapInArrow(_window_maker(p, None), WINDOW).filter(_share(1 / one_in, "doc", "pos"))
+        cuts = _sampled(sample, ["bytes", "doc", "pos"], p, few)
         windows = undecided.mapInArrow(_window_maker(p, cuts), WINDOW).repartition(min(few, parts), "bucket").sortWithinPartitions("bucket", "bytes", "doc", "pos")
         windows = materialise(windows.mapInArrow(_window_sorter(p), EDGE), "suffix-windows")
         # one row per bucket, at most ``most_buckets``: a bucket's first window repeats if the bucket before ends with the same string
