@@ -8,6 +8,7 @@ shared folder, so a lost executor costs one round at most.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +45,22 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+class Roots:
+    """Smallest member of each component of the vertices 0 to n - 1; links are folded in as they come."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Link ``i[k]`` with ``j[k]``."""
+        while True:
+            a, b = self.root[i], self.root[j]
+            apart = a != b
+            if not apart.any():
+                return
+            i, j = i[apart], j[apart]
+            np.minimum.at(self.root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+            while not np.array_equal(up := self.root[self.root], self.root):
+                self.root = up

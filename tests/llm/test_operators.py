@@ -9,6 +9,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -114,6 +115,44 @@ def test_cover_tree(spark):
     assert cover_tree.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_cover_tree_repeated_ids(spark):
+    near = [1.0, 0.1]
+    rows = [(5, [1.0, 0.0]), (5, [1.0, 0.0]), (6, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [0.0, 1.0]), (9, [0.0, 2.0]), (10, [1.0, 0.0]), (10, near), (None, near)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in cover_tree.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    # the vectors of 10 are two partners for others, and have three partners each
+    assert got == {5: (4, 5, True), 6: (4, 5, False), 7: (4, 5, False), 10: (6, 5, False), 8: (1, 8, True), 9: (1, 8, False), None: (0, None, False)}
+
+
+def test_cover_tree_large_balls_and_deep_cells(spark):
+    rng = np.random.default_rng(11)
+    ball = np.array([[1.0, 0, 0, 0]]) + rng.normal(scale=0.01, size=(300, 4))
+    chain = np.array([[math.cos(a), math.sin(a), 0, 0] for a in np.linspace(1.0, 2.2, 200)])
+    x = np.concatenate((ball, ball[:40], chain, rng.normal(size=(100, 4)))).astype(np.float32)
+    frame = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<float>")
+    y = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    i, j = np.nonzero(np.triu(y @ y.T >= 0.9, 1))
+    want, n = classes_of(zip(i.tolist(), j.tolist(), strict=True), range(len(x))), collections.Counter(i.tolist() + j.tolist())
+    for params in (cover_tree.CoverParams(block=50, centres=4, sample=200), cover_tree.CoverParams(block=50, centres=4, most_cells=4)):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in cover_tree.near_vectors(frame, params).collect()}
+        assert got == {k: (n[k], want[k]) for k in range(len(x))}
+
+
+def test_cover_tree_block_of_links_stays_small():
+    rng = np.random.default_rng(1)
+    x = np.eye(1, 64) + rng.normal(scale=0.03, size=(4096, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    p = cover_tree.CoverParams()
+    tracemalloc.start()
+    links = cover_tree.Links(cover_tree.Tree(np.arange(4096), np.ones(4096, np.int64), x, p.radii()), None, p.reach)
+    links.run()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 500e6
+    ids, roots, counts = links.result()
+    want = {k: n for k, n in enumerate(((x @ x.T >= 0.9).sum(axis=1) - 1).tolist()) if n}
+    assert dict(zip(ids, counts, strict=True)) == want and set(roots) == {min(want)}
+
+
 def brute_repeats(rows):
     seen, out = set(), {}
     for k, (i, t) in sorted(enumerate(rows), key=lambda r: (r[1][0] is not None, r[1][0] or 0, r[1][1] or "")):
