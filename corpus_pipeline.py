@@ -27,17 +27,21 @@ def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays, that with the smallest doc_id.
 
     Empty texts and null ids form no class and stay; of repeated rows of one
-    doc_id and text one stays.
+    doc_id and text one stays; different texts of one doc_id are documents of
+    their own, and go before others of their class as the one that stays.
     """
-    classes = ngram_join.near_duplicates(docs)
-    gone = classes.filter("class_id <> doc_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(gone.hint("merge"), "doc_id", "left_anti")
-    again = storage.materialise(docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "pipeline-ids")
-    if again.isEmpty():
-        return kept.select(*COLUMNS)
-    one = Window.partitionBy("doc_id", "text").orderBy("source", "lang", "n_chars")
-    several = kept.join(again, "doc_id", "left_semi").withColumn("k", F.row_number().over(one)).filter("k = 1").drop("k")
-    return kept.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(several.select(*COLUMNS))
+    docs = docs.select(*COLUMNS)
+    again = storage.materialise(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "pipeline-ids")
+    keyed = docs.withColumn("key", F.col("doc_id"))
+    if not again.isEmpty():
+        one = Window.partitionBy("doc_id", "text").orderBy("source", "lang", "n_chars")
+        several = docs.join(again, "doc_id", "left_semi").withColumn("k", F.row_number().over(one)).filter("k = 1").drop("k")
+        several = several.withColumn("key", F.xxhash64("doc_id", "text").bitwiseOR(F.lit(-(1 << 63))))
+        keyed = docs.join(again, "doc_id", "left_anti").withColumn("key", F.col("doc_id")).unionByName(several.select(*keyed.columns))
+        keyed = storage.materialise(keyed, "pipeline-keyed")
+    classes = ngram_join.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"))
+    gone = classes.filter("class_id <> doc_id").select(F.col("doc_id").alias("key")).distinct()
+    return keyed.join(gone.hint("merge"), "key", "left_anti").select(*COLUMNS)
 
 
 def drop_leaks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
