@@ -23,6 +23,18 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter(F.col("toxicity") < toxicity.ToxicityParams().threshold).select(*COLUMNS)
 
 
+def with_key(docs: DataFrame) -> DataFrame:
+    """The columns of documents and ``key``: the doc_id where one row has it, else (null or repeated) a negative hash of id and text."""
+    docs = docs.select(*COLUMNS)
+    own = F.xxhash64("doc_id", "text").bitwiseOR(F.lit(-(1 << 63)))
+    again = storage.materialise(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "pipeline-ids")
+    if again.isEmpty():
+        return docs.withColumn("key", F.coalesce("doc_id", own))
+    marked = docs.join(again.withColumn("again", F.lit(True)), "doc_id", "left")
+    keyed = marked.withColumn("key", F.when(F.col("again") | F.col("doc_id").isNull(), own).otherwise(F.col("doc_id")))
+    return storage.materialise(keyed.select(*COLUMNS, "key"), "pipeline-keyed")
+
+
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays, that with the smallest doc_id.
 
@@ -30,24 +42,25 @@ def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     doc_id and text one stays; different texts of one doc_id are documents of
     their own, and go before others of their class as the one that stays.
     """
-    docs = docs.select(*COLUMNS)
-    again = storage.materialise(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "pipeline-ids")
-    keyed = docs.withColumn("key", F.col("doc_id"))
-    if not again.isEmpty():
-        one = Window.partitionBy("doc_id", "text").orderBy("source", "lang", "n_chars")
-        several = docs.join(again, "doc_id", "left_semi").withColumn("k", F.row_number().over(one)).filter("k = 1").drop("k")
-        several = several.withColumn("key", F.xxhash64("doc_id", "text").bitwiseOR(F.lit(-(1 << 63))))
-        keyed = docs.join(again, "doc_id", "left_anti").withColumn("key", F.col("doc_id")).unionByName(several.select(*keyed.columns))
-        keyed = storage.materialise(keyed, "pipeline-keyed")
-    classes = ngram_join.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"))
+    keyed = with_key(docs)
+    classes = ngram_join.near_duplicates(keyed.filter("doc_id IS NOT NULL").select(F.col("key").alias("doc_id"), "text"))
     gone = classes.filter("class_id <> doc_id").select(F.col("doc_id").alias("key")).distinct()
-    return keyed.join(gone.hint("merge"), "key", "left_anti").select(*COLUMNS)
+    kept = keyed.join(gone.hint("merge"), "key", "left_anti")
+    repeated = F.coalesce(F.col("key") != F.col("doc_id"), F.lit(False))
+    one = Window.partitionBy("key").orderBy("source", "lang", "n_chars")
+    again = kept.filter(repeated)
+    if again.isEmpty():
+        return kept.select(*COLUMNS)
+    first = again.withColumn("k", F.row_number().over(one)).filter("k = 1").select(*COLUMNS)
+    return kept.filter(~repeated).select(*COLUMNS).unionByName(first)
 
 
 def drop_leaks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
-    leaks = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.select(*COLUMNS).join(leaks.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that contain a benchmark item go, each row by its own text; null and empty texts stay."""
+    keyed = with_key(docs)
+    leaks = decontaminate.find_leaks(keyed.select(F.col("key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = leaks.select(F.col("doc_id").alias("key")).distinct()
+    return keyed.join(gone.hint("merge"), "key", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
