@@ -1,9 +1,9 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Only joins, unions and aggregations: nothing is collected, a vertex with very
-many neighbours is a skewed join that adaptive execution can split, and the
-minimum per vertex combines before its shuffle.  Each round is written to the
-shared folder, so a lost executor costs one round at most.
+Only joins, unions and aggregations: nothing is collected, the minimum per
+vertex combines before its shuffle, and a vertex with very many neighbours is
+looked up apart (:func:`spread_join`).  Each round is written to the shared
+folder, so a lost executor costs one round at most.
 """
 
 from __future__ import annotations
@@ -12,7 +12,24 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import materialise, release
+
+
+HOT_SHARE, HOT_LEAST = 10_000, 1_000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, count: str = "n") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row per ``key`` and its number of ``rows`` in ``count``.
+
+    A key with over a 10,000th of the rows (and over 1,000) is looked up in a
+    broadcast of such keys, under 10,000 by their definition, so its rows stay
+    where they are; the others meet in a shuffled join.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    is_hot = F.col(count) > max(HOT_LEAST, total // HOT_SHARE)
+    hot = F.broadcast(table.filter(is_hot).drop(count))
+    rest = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(table.filter(~is_hot).drop(count), key))
 
 
 def _stamp(edges: DataFrame) -> tuple:
@@ -32,12 +49,12 @@ def components(edges: DataFrame) -> DataFrame:
     stamp = _stamp(now)
     while stamp[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialise(large, "cc")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), "cc-least")
+        large = materialise(spread_join(both, least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc")
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "cc-least")
+        small = spread_join(large, low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         after = materialise(small.select("e.u", "e.v").filter("u <> v").distinct(), "cc")
+        release(now, least, large, low)
         last, stamp = stamp, _stamp(after)
         now = after
         if stamp == last:

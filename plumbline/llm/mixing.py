@@ -118,13 +118,14 @@ def mix(docs: DataFrame, params: MixParams | None = None, keep: tuple[str, ...]
     """Mix ``docs`` (doc_id, text, source; more columns allowed) to target weights.
 
     Null texts and texts of white space have size 0 and are never taken; a null
-    source is a source of its own, the last; a null doc_id is an id like any
-    other; repeated rows stay separate rows.  An empty table gives an empty mix.
+    source is a source of its own, the last; rows are placed by their id and text,
+    so rows with a null or repeated doc_id spread like others; repeated rows stay
+    separate rows.  An empty table gives an empty mix.
     ``keep`` names columns of ``docs`` to pass through on ``Mix.docs``.
     """
     p = params or MixParams()
     slim = docs.select(
-        F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), *[F.col(c).alias(f"keep_{c}") for c in keep]
+        F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(p.seed), "doc_id", "text").alias("place"), *[F.col(c).alias(f"keep_{c}") for c in keep]
     )
     counted = materialise(slim, "mix-sizes") if not keep else slim
     sizes = counted.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
@@ -142,11 +143,11 @@ def mix(docs: DataFrame, params: MixParams | None = None, keep: tuple[str, ...]
     sources = materialise(blocks.withColumn("slots", slots_wanted), "mix-sources")
 
     keyed = counted.join(sources.select("source_id", F.col("source").alias("s"), "block_len"), F.col("source").eqNullSafe(F.col("s")), "inner").drop("s")
-    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64(F.lit(p.seed), "doc_id"), F.lit(buckets)).cast("int"))
+    keyed = keyed.withColumn("bucket", F.pmod("place", F.lit(buckets)).cast("int"))
     sums = keyed.groupBy("source_id", "bucket").agg(F.sum("size").alias("bucket_size"))
     ahead = Window.partitionBy("source_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = materialise(sums.select("source_id", "bucket", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)).alias("base")), "mix-bases")
-    inside = Window.partitionBy("source_id", "bucket").orderBy("doc_id", "size")
+    inside = Window.partitionBy("source_id", "bucket").orderBy("place", "doc_id", "size")
     placed = (
         keyed.withColumn("rn", F.row_number().over(inside))
         .withColumn("within", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))

@@ -122,7 +122,7 @@ class Lexicon:
 def _hits(folded: str, automaton) -> dict[int, float]:
     """Weight of the heaviest entry that starts at each place, those inside an exception left out."""
     hits, safe = {}, []
-    for end, (size, weight) in automaton.iter(folded):
+    for end, (size, weight) in automaton.iter(folded) if len(automaton) else ():
         start = end - size + 1
         if weight:
             hits[start] = max(weight, hits.get(start, 0.0))
@@ -138,8 +138,6 @@ def _hits(folded: str, automaton) -> dict[int, float]:
 
 def features(text: str, automaton) -> tuple[float, float]:
     """Logs of 1 + the weight of hits outside exceptions per 100 words, and of 1 + their number."""
-    if not len(automaton):
-        return 0.0, 0.0
     folded = fold(text)
     hits = _hits(folded, automaton)
     if not hits:

@@ -72,6 +72,36 @@ def test_near_duplicates(spark, texts):
     assert ngram_join.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = random.Random(21)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    rows = [(1, a), (2, a + " tail"), (2, b), (3, b + " end"), (2, c), (2, a + " tail"), (7, c)]
+    got = ngram_join.near_duplicates(docs(spark, [(i, t, "s") for i, t in rows])).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == [(1, 1, 1), (2, 1, 1), (2, 2, 1), (2, 2, 1), (3, 2, 1), (7, 2, 1)]
+
+
+def test_near_duplicates_recall(spark):
+    """The query over whole sf0.01 against all pairs."""
+    folder = "/root/testdata/sf0.01"
+    sets = {r.doc_id: grams(r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    holders, links = collections.defaultdict(list), []
+    for i, grams_ in sets.items():
+        for g in grams_:
+            holders[g].append(i)
+    pairs = {(a, b) for ids in holders.values() for a in ids for b in ids if a < b}
+    links = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want, count = classes_of(links, sets), collections.Counter(x for pair in links for x in pair)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.op7_ngram_join(spark, folder).collect()}
+    assert len(links) > 50 and got == {i: (want[i], count[i]) for i in sets}
+
+
+def test_spread_join(spark, monkeypatch):
+    monkeypatch.setattr(components, "HOT_LEAST", 3)
+    rows = spark.createDataFrame([(1, k) for k in range(50)] + [(2, 7), (3, 8)], "u long, v long")
+    table = spark.createDataFrame([(1, 50, "a"), (2, 1, "b"), (3, 1, "c")], "u long, n long, m string")
+    assert collections.Counter(r.m for r in components.spread_join(rows, table, "u").collect()) == {"a": 50, "b": 1, "c": 1}
+
+
 def test_blocks_of_a_large_cluster(spark):
     rng = random.Random(1)
     base = prose(rng, 200).split()
@@ -89,6 +119,8 @@ def test_band_plan():
         bands, rows = ngram_join.JoinParams(threshold=t).bands()
         assert bands * rows <= 80 or rows == 1
         assert 1 - (1 - t**rows) ** bands >= 0.9999 or t == 1.0
+        least, settled = ngram_join.JoinParams(threshold=t).agreement()
+        assert rows <= least <= bands * rows and 0 < settled <= bands * rows
 
 
 def test_components(spark):
