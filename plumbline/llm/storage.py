@@ -12,6 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 #: Written tables by the DataFrame that reads them.
 _written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session hand rows to Python in batches of at most 4 MB: whole texts in batches of its usual 64 MB cost a
+    worker several times that.  It stays so, as results are read later."""
+    if int(spark.conf.get(BATCH).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +49,7 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     the write are deleted when it ends, as nothing reads them again.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = fresh_path(spark, name)
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")

@@ -42,6 +42,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import bound_batches
+
 #: First names by (script, gender), titles by gender, letter classes by script.
 FIRST_NAMES = {
     ("latin", "f"): "Alice Amelia Anna Barbara Carla Caroline Charlotte Clara Diana Elena Elizabeth Emily Emma Eva Hannah Helen Isabel Jane Jessica Julia Karen Katherine Laura Linda Lisa Lucia Maria Marie Martha Mary Monika Nancy Olivia Patricia Rachel Sarah Sofia Sophie Susan Teresa".split(),
@@ -432,6 +434,7 @@ def replace_pii(docs: DataFrame, params: PiiParams | None = None) -> DataFrame:
     columns named n_entities or kinds are replaced; an empty table gives no rows.
     """
     p = params or PiiParams()
+    bound_batches(docs.sparkSession)
     for tweak in range(p.most_tweaks):
         if (left := collisions(docs, p, tweak)).isEmpty():
             break

@@ -146,6 +146,7 @@ class ChunkEncoder:
         cut = pc.split_pattern(texts, " ")
         starts = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
         chunks = cut.flatten().dictionary_encode()
+        del cut
         names, code = chunks.dictionary, chunks.indices.to_numpy()
         bad = self._irregular(names)
         whole = np.logical_or.reduceat(bad[code], starts)
@@ -158,7 +159,7 @@ class ChunkEncoder:
         head_ids, head_sizes = self._encode(heads.dictionary.to_pylist())
         own_ids, own_sizes = self._encode(texts.take(pa.array(alone)).to_pylist())
         # one list of ids per plain chunk, other chunk, opening chunk and whole text
-        lists = np.concatenate((word_sizes, other_sizes, head_sizes, own_sizes))
+        lists = np.concatenate((word_sizes, other_sizes, head_sizes, own_sizes)).astype(np.int32)
         offsets = pa.array(np.concatenate(([0], np.cumsum(lists))).astype(np.int32))
         every = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate((word_ids, other_ids, head_ids, own_ids))))
         where = np.zeros(len(names), np.int32)
@@ -171,8 +172,9 @@ class ChunkEncoder:
         of_whole = np.repeat(whole, np.diff(starts, append=len(code)))
         of_whole[starts] = False
         place = place[~of_whole]  # a text that is encoded whole is one entry
+        del chunks, of_whole
         first = np.cumsum(np.concatenate(([0], np.where(whole, 1, np.diff(starts, append=len(code))))))[:-1]
-        return every.take(pa.array(place)).flatten().to_numpy(), np.add.reduceat(lists[place], first)
+        return every.take(pa.array(place)).flatten().to_numpy(), np.add.reduceat(lists[place], first, dtype=np.int64)
 
 
 _loaded: dict = {}
