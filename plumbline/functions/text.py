@@ -14,7 +14,10 @@ from .numerals import LETTER_NAMES, digits_udf, is_house_trigger, is_number_word
 MAX_CHARS = 512
 LATIN, CYRILLIC = "aeopcxykmthb", "аеорсхукмтнв"
 ABBREVIATIONS = {"ул": "улица", "пр-т": "проспект", "просп": "проспект", "пр": "проспект", "пер": "переулок", "б-р": "бульвар", "бул": "бульвар", "ш": "шоссе", "наб": "набережная", "пл": "площадь", "пр-д": "проезд", "мкр": "микрорайон", "кв-л": "квартал", "д": "", "дом": "", "лит": "", "к": "к", "корп": "к", "корпус": "к", "стр": "с"}
-STOP_WORDS = "живу я на мне удобно ну вот это самое если знаете как бы давайте мой адрес рядом с домом так короче а э там тут вроде кажется значит".split()
+STOP_WORDS = [
+    "живу", "я", "на", "мне", "удобно", "ну", "вот", "это", "самое", "если", "знаете", "как", "бы", "давайте", "мой", "адрес", "рядом", "с", "домом",
+    "так", "короче", "а", "э", "там", "тут", "вроде", "кажется", "значит",
+]
 
 
 def rules_version() -> str:
