@@ -25,8 +25,11 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, count: str = "n") -
     broadcast of such keys, under 10,000 by their definition, so its rows stay
     where they are; the others meet in a shuffled join.
     """
-    total = table.agg(F.sum(count)).first()[0] or 0
-    is_hot = F.col(count) > max(HOT_LEAST, total // HOT_SHARE)
+    total, most = table.agg(F.sum(count), F.max(count)).first()
+    limit = max(HOT_LEAST, (total or 0) // HOT_SHARE)
+    if (most or 0) <= limit:
+        return rows.join(table.drop(count), key)
+    is_hot = F.col(count) > limit
     hot = F.broadcast(table.filter(is_hot).drop(count))
     rest = rows.join(hot.select(key), key, "left_anti")
     return rows.join(hot, key).unionByName(rest.join(table.filter(~is_hot).drop(count), key))

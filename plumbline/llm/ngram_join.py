@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import Roots, components, spread_join
-from .storage import materialise
+from .storage import frugal, materialise
 from .wordgrams import NGRAM, byte_chunks, mix64, ngrams, word_hashes
 
 
@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame, params: JoinParams | None = None) -> DataFr
     """
     p = params or JoinParams()
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = materialise(slim.mapInArrow(_sketcher(p), SKETCH), "near-sketch")
+    sketch = materialise(slim.mapInArrow(frugal(_sketcher(p)), SKETCH), "near-sketch")
     usable = sketch.filter("n_grams > 0 AND doc_id IS NOT NULL")
     rows = sketch.select("doc_id", "c1", "c2", "n_grams").distinct()
     classes = (
@@ -310,7 +310,7 @@ def near_duplicates(docs: DataFrame, params: JoinParams | None = None) -> DataFr
     )
     keys = ["cluster", "i", "j"]
     found = materialise(
-        tasks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verifier(p), "node long, root long, links long"),
+        tasks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(frugal(_verifier(p)), "node long, root long, links long"),
         "near-links",
     )
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

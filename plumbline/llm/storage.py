@@ -62,6 +62,26 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     return table
 
 
+def frugal(run):
+    """``run`` over batches, after which the worker gives freed memory back: workers are kept, and what they hold adds up over stages."""
+
+    def over(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the GNU C library's
+                trim(0)
+
+    return over
+
+
 def release(*tables: DataFrame) -> None:
     """Delete written tables that no result reads any more, through Hadoop's file system API."""
     for table in tables:

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import file_system, fresh_path, materialise
+from .storage import file_system, fresh_path, frugal, materialise
 from .wordgrams import byte_chunks
 
 #: Fixed values of the format.
@@ -255,7 +255,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str | None = None
         .select(F.spark_partition_id().alias("part"), "doc_id", "text")
     )
     done = materialise(
-        ordered.mapInArrow(_writer(folder, tokenizer_path), "file string, part int, n_docs long, n_tokens long, n_bytes long"), "token-manifest"
+        ordered.mapInArrow(frugal(_writer(folder, tokenizer_path)), "file string, part int, n_docs long, n_tokens long, n_bytes long"), "token-manifest"
     )
     # one row per file, so the running sum is over a handful of rows
     rows, base = [], 0
@@ -300,7 +300,7 @@ def _reader(folder: str):
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
     """Per document of the files: (doc_id, start, n_tokens, ids_crc32); checks every checksum and the index."""
     n = max(1, manifest.count())
-    return manifest.repartition(n, "file").mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.repartition(n, "file").mapInArrow(frugal(_reader(folder)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_token_files(spark, sf_dir: str) -> DataFrame:

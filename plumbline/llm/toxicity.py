@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import frugal, materialise
 
 #: Letters of other scripts that look Latin, and digits read as letters.
 #: l, i and 1 fold to one letter, as the digit may stand for either.
@@ -263,7 +263,7 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = No
     if not pos or not neg:
         return Lexicon()
     terms = materialise(
-        sample.mapInArrow(_terms, TERMS).groupBy("term", "kind").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")),
+        sample.mapInArrow(frugal(_terms), TERMS).groupBy("term", "kind").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")),
         "toxic-terms",
     )
     weight = F.log((F.col("pos") + p.prior) / (pos + 1)) - F.log((F.col("neg") + p.prior) / (neg + 1))
@@ -281,7 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = No
         clean = terms.filter((F.col("kind") == 0) & opened & cleaner)
         safe = [r.term for r in clean.orderBy(F.desc("neg"), "term").limit(p.max_entries).collect()]
     lexicon = Lexicon(words, stems, tuple(safe) + tuple(" ".join(fold(x).split()) for x in p.phrases))
-    around = sample.mapInArrow(_contexts(lexicon), TERMS).groupBy("term", "kind").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    around = sample.mapInArrow(frugal(_contexts(lexicon)), TERMS).groupBy("term", "kind").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     around = materialise(around, "toxic-phrases")
     hit = around.filter("kind = 0").first()
     if hit and hit.pos and hit.neg:  # a phrase must be cleaner than hits are as a rule, beyond chance
@@ -321,7 +321,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], [*names, "toxicity"])
 
     schema = docs.select(*names).schema.add("toxicity", "double")
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(frugal(run), schema)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
