@@ -15,6 +15,7 @@ from ..functions import numerals, parsing, similarity, text
 from ..operators import decide as rules
 from ..operators import dialog, dims, evaluate, score, search
 from ..operators.features import with_features
+from ..sources import files
 from .lookup import Lookup
 
 QUERIES: dict = {}
@@ -66,6 +67,13 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same requests as raw text: misspelt name and house in one utterance, and the city as a slot."""
+    d = requests(spark, sf_dir)
+    said = F.concat_ws(" ", "slot_street_text", "slot_house")
+    return d.select("id", F.when(F.col("id").cast("long") % 5 == 0, "webchat").otherwise("voice").alias("channel"), said.alias("raw"), "slot_city_text", "label")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole lookup over the catalogue."""
     return lookup_decisions(spark, sf_dir)
@@ -155,7 +163,7 @@ def city_resolve(spark, sf_dir):
 
 @query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}\s]|_', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM documents""")
 def norm_text(spark, sf_dir):
-    """Case, punctuation and spaces of whole documents."""
+    """Spaces of whole documents collapsed, after case and punctuation in plain expressions."""
     t = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\s]|_", " ")
     return table(spark, sf_dir, "documents").select("doc_id", text.collapse_spaces(t).alias("plain"))
 
@@ -167,34 +175,81 @@ def normalise_conversations(spark, sf_dir):
     return d.select("conv_id", "turn", F.col("norm.text").alias("norm_text"), F.col("norm.truncated").alias("truncated"), F.col("norm.ambiguous").alias("ambiguous"))
 
 
-_SPOKEN = [("сто шестьдесят три", "163", False), ("два к два", "2к2", False), ("три сто", "3 100", True), ("сорок восемь короче бэ", "48Б", False), ("горькогосто шестьдесят три", "горького 163", False), ("пятнадцать два", "17", False)]
+_HUNDREDS = ["", "сто", "двести", "триста", "четыреста", "пятьсот", "шестьсот", "семьсот", "восемьсот", "девятьсот"]
+_TEENS = ["десять", "одиннадцать", "двенадцать", "тринадцать", "четырнадцать", "пятнадцать", "шестнадцать", "семнадцать", "восемнадцать", "девятнадцать"]
+_TENS = ["", "", "двадцать", "тридцать", "сорок", "пятьдесят", "шестьдесят", "семьдесят", "восемьдесят", "девяносто"]
+_UNITS = ["", "один", "два", "три", "четыре", "пять", "шесть", "семь", "восемь", "девять"]
+_STREETS = ["ленина", "мира", "гагарина", "победы", "космонавтов", "садовая", "лесная"]
+_TYPES = ["улица", "проспект", "шоссе", "переулок", "бульвар"]
+
+
+def picked(words: list[str], at: Column) -> Column:
+    """The word of a list at a position from 0."""
+    return F.element_at(F.array(*map(F.lit, words)), at.cast("int") + 1)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {str(c).lower()})" for a, b, c in _SPOKEN) + ") t(raw, digits, ambiguous)")
+def spelt(n: Column) -> Column:
+    """A number from 1 to 999 in words."""
+    rest = n % 100
+    low = F.when((rest >= 10) & (rest < 20), picked(_TEENS, F.greatest(rest - 10, F.lit(0)) % 10)).otherwise(F.concat_ws(" ", picked(_TENS, F.floor(rest / 10)), picked(_UNITS, rest % 10)))
+    return text.collapse_spaces(F.concat_ws(" ", picked(_HUNDREDS, F.floor(n / 100)), low))
+
+
+@query("""WITH k AS (SELECT o_orderkey AS id, o_orderkey % 999 + 1 AS n, o_orderkey % 9 + 1 AS m FROM orders)
+SELECT id, CASE id % 5 WHEN 0 THEN 'улица мира ' || n WHEN 1 THEN n || 'к' || m WHEN 2 THEN n || 'Б' WHEN 3 THEN n || 'кГ' ELSE m || ' 100' END AS digits, id % 5 = 4 AS ambiguous FROM k""")
 def spoken_numbers(spark, sf_dir):
-    """Number words and house tails."""
-    rows = spark.createDataFrame([(a,) for a, *_ in _SPOKEN], "raw string").withColumn("d", numerals.digits_udf("raw"))
-    return rows.select("raw", F.col("d.text").alias("digits"), F.col("d.ambiguous").alias("ambiguous"))
+    """Numbers from 1 to 999 in words, with house tails and broken orders, for every order."""
+    k, n, m = F.col("o_orderkey"), F.col("o_orderkey") % 999 + 1, F.col("o_orderkey") % 9 + 1
+    raw = (
+        F.when(k % 5 == 0, F.concat(F.lit("улица мира "), spelt(n))).when(k % 5 == 1, F.concat(spelt(n), F.lit(" корпус "), spelt(m)))
+        .when(k % 5 == 2, F.concat(spelt(n), F.lit(" бэ"))).when(k % 5 == 3, F.concat(spelt(n), F.lit(" дробь гэ"))).otherwise(F.concat(spelt(m), F.lit(" сто")))
+    )
+    rows = table(spark, sf_dir, "orders").select(k.alias("id"), numerals.digits_udf(raw).alias("d"))
+    return rows.select("id", F.col("d.text").alias("digits"), F.col("d.ambiguous").alias("ambiguous"))
 
 
-_ADDRESSES = [("улица ленина 16/2", "улица", "ленина", "16к2", None), ("красноярск улица космонавтов 17а", "улица", "космонавтов", "17а", "красноярск"), ("шоссемосковское 5", "шоссе", "московское", "5", None), ("шахтеров 111", None, "шахтеров", "111", None)]
+def _pick_sql(words: list[str], at: str) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + f"][{at} + 1]"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for r in _ADDRESSES) + ") t(raw, street_type, street, house, city_hint)")
+@query(f"""WITH k AS (SELECT o_orderkey AS id, o_orderkey % 200 + 1 AS n, o_orderkey % 9 + 1 AS m, {_pick_sql(_STREETS, "o_orderkey % 7")} AS street, {_pick_sql(_TYPES, "o_orderkey % 5")} AS kind FROM orders)
+SELECT id, CASE WHEN id % 4 = 3 THEN 'шоссе' ELSE kind END AS street_type, CASE WHEN id % 4 = 3 THEN 'московское' ELSE street END AS street,
+CASE id % 4 WHEN 1 THEN n || 'а' WHEN 2 THEN n || 'к' || m ELSE CAST(n AS VARCHAR) END AS house, CASE WHEN id % 4 = 1 THEN 'красноярск' END AS city_hint, true AS has_cues FROM k""")
 def address_slots(spark, sf_dir):
-    """Slots of normalised addresses."""
-    d = parsing.parsed(spark.createDataFrame([(r[0],) for r in _ADDRESSES], "raw string"), "raw")
-    return d.select("raw", *[F.col(f"parse.{c}").alias(c) for c in ("street_type", "street", "house", "city_hint")])
+    """Slots of an address of every order, with glued types, city hints, letters and fractions."""
+    k = F.col("o_orderkey")
+    n, street = (k % 200 + 1).cast("string"), F.concat(picked(_TYPES, k % 5), F.lit(" "), picked(_STREETS, k % 7))
+    raw = (
+        F.when(k % 4 == 0, F.concat_ws(" ", street, n)).when(k % 4 == 1, F.concat(F.lit("красноярск "), street, F.lit(" "), n, F.lit("а")))
+        .when(k % 4 == 2, F.concat(street, F.lit(" "), n, F.lit("/"), (k % 9 + 1).cast("string"))).otherwise(F.concat(F.lit("шоссемосковское "), n))
+    )
+    d = parsing.parsed(table(spark, sf_dir, "orders").select(k.alias("id"), raw.alias("raw")), "raw")
+    return d.select("id", *[F.col(f"parse.{c}").alias(c) for c in ("street_type", "street", "house", "city_hint", "has_cues")])
+
+
+@query(f"""WITH k AS (SELECT o_orderkey AS id, o_orderkey % 900 + 1 AS n, o_orderkey % 9 + 1 AS m, {_pick_sql(_STREETS, "o_orderkey % 7")} AS street FROM orders)
+SELECT id, CASE id % 4 WHEN 3 THEN 'улица рублевская ' || n || 'к' || m ELSE 'улица ' || street || ' ' || n END AS norm_text, false AS truncated FROM k""")
+def normalise_addresses(spark, sf_dir):
+    """Dictation and typing with abbreviations, stop words, Latin letters, glued houses and number words, for every order."""
+    k = F.col("o_orderkey")
+    n, street = k % 900 + 1, picked(_STREETS, k % 7)
+    raw = (
+        F.when(k % 4 == 0, F.concat(F.lit("Ул. "), F.initcap(street), F.lit(", д. "), n.cast("string"))).when(k % 4 == 1, F.concat(F.lit("живу я на улица "), street, F.lit("  дом "), spelt(n)))
+        .when(k % 4 == 2, F.concat(F.translate(F.concat(F.lit("улица "), street), "ао", "ao"), F.lit(" "), n.cast("string")))
+        .otherwise(F.concat(F.lit("улица Рублёвская дом "), n.cast("string"), F.lit(" к "), (k % 9 + 1).cast("string")))
+    )
+    rows = table(spark, sf_dir, "orders").select(k.alias("id"), raw.alias("raw"), F.when(k % 2 == 0, "webchat").otherwise("voice").alias("channel"))
+    return text.normalised(rows, "raw", F.col("channel")).select("id", F.col("norm.text").alias("norm_text"), F.col("norm.truncated").alias("truncated"))
 
 
-@query(r"""WITH w AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part) WHERE length(w) >= 4),
-d AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM documents)
-SELECT DISTINCT doc_id FROM d WHERE w IN (SELECT w FROM w)""")
+@query(f"""WITH w AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part) WHERE length(w) >= 4),
+d AS (SELECT s_suppkey AS id, unnest(string_split({_NOISY}, ' ')) AS w FROM supplier JOIN part ON s_suppkey = p_partkey)
+SELECT DISTINCT id FROM d WHERE w IN (SELECT w FROM w)""")
 def has_name(spark, sf_dir):
-    """Documents with a word of four letters or more of some name, as a semi-join."""
+    """Requests with a word of four letters or more of some name, as a semi-join."""
     names = dims.build(catalogue(spark, sf_dir)).name_words
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("word"))
-    return words.join(names, "word", "left_semi").select("doc_id").distinct()
+    words = requests(spark, sf_dir).select(F.col("id").cast("long").alias("id"), F.explode(F.array_distinct(F.split("slot_street_text", " "))).alias("word"))
+    return words.join(names, "word", "left_semi").select("id").distinct()
 
 
 def _pairs(spark, sf_dir) -> DataFrame:
@@ -321,23 +376,18 @@ def decision_pivot(spark, sf_dir):
 
 @query()
 def lookup_decisions(spark, sf_dir):
-    """F1, F2, E7, S2 and all of the above: the whole lookup, suppliers against the catalogue."""
-    asked = requests(spark, sf_dir)
-    out = Lookup(catalogue(spark, sf_dir)).match(asked)
+    """F1, F2, E7, S2 and all of the above: the whole lookup, suppliers' utterances against the catalogue."""
+    out = Lookup(catalogue(spark, sf_dir)).match(spoken(spark, sf_dir))
     return out.select("id", "decision", "rule", "candidates", F.transform("scores", lambda x: F.round(x, 6)).alias("scores"), "missing_slot", "leader_street_id")
 
 
 @query()
 def dialog_turn2(spark, sf_dir):
-    """Asked-for houses and cities are answered in a second turn."""
-    look, asked = Lookup(catalogue(spark, sf_dir)), requests(spark, sf_dir)
-    first = look.match(asked).select("id", "decision", "leader_street_id", "leader_city_id").join(asked.select("id", "channel", "raw"), "id")
-    part = table(spark, sf_dir, "part")
-    truth = part.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_size").cast("string").alias("true_house"), text.collapse_spaces(F.regexp_replace(F.lower("p_brand"), "#", " ")).alias("true_city_id"))
-    turn = dialog.second_turn(first, truth).persist()
-    again = turn.join(asked.select("id", "slot_street_text", F.col("slot_house").alias("own_house")), "id").withColumn("slot_street_text", F.when(F.col("asked_slot") == "city", F.col("slot_street_text"))).withColumn("slot_house", F.when(F.col("asked_slot") == "city", F.col("own_house")).otherwise(F.col("raw")))
-    second = look.match(again).select("id", "decision", "candidates").join(turn.select("id", "first_decision"), "id").join(asked.select("id", "label"), "id")
-    return dialog.dialogue_rates(second)
+    """Natural and forced second turns of all utterances."""
+    look = Lookup(catalogue(spark, sf_dir))
+    city = text.collapse_spaces(F.regexp_replace(F.lower("p_brand"), "#", " "))
+    truth = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_size").cast("string").alias("true_house"), city.alias("true_city_id"))
+    return dialog.scenarios(look.match, look.prepared, spoken(spark, sf_dir), truth)
 
 
 _EVAL = """WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS label, o_totalprice / 1000 AS ms,
@@ -362,10 +412,20 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-@query(_EVAL + _METRICS.format("r"))
+_LAST = """WITH p AS (SELECT l_orderkey AS id, arg_max([CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)][1:l_linenumber % 3], l_linenumber * 10000000000 + l_partkey * 100000 + l_suppkey) AS cand FROM lineitem GROUP BY 1),
+r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_custkey % 20 AS VARCHAR) END AS label, o_totalprice / 1000 AS ms, coalesce(cand, []) AS cand FROM orders LEFT JOIN p ON p.id = o_orderkey) """
+
+
+@query(_LAST + _METRICS.format("r"))
 def eval_metrics(spark, sf_dir):
-    """The nine metrics over all orders as judged requests."""
-    return _rounded(evaluate.metrics(_judged(spark, sf_dir)))
+    """The nine metrics over all orders as requests, with the last prediction (line item) of each; without one it is a rejection."""
+    lines = table(spark, sf_dir, "lineitem")
+    ids = F.slice(F.array(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")), F.lit(1), F.col("l_linenumber") % 3)
+    last = evaluate.last_predictions(lines.select(F.col("l_orderkey").alias("id"), ids.alias("candidates"), F.lit(None).cast("array<double>").alias("scores"), F.expr("l_linenumber * 10000000000L + l_partkey * 100000L + l_suppkey").alias("seq")))
+    key = F.col("o_orderkey")
+    asked = table(spark, sf_dir, "orders").select(key.alias("id"), F.when(key % 5 != 0, (F.col("o_custkey") % 20).cast("string")).alias("label"), (F.col("o_totalprice") / 1000).alias("ms"))
+    joined = asked.join(last.select("id", "candidates"), "id", "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>")))
+    return _rounded(evaluate.metrics(joined))
 
 
 @query(_EVAL + ", s AS (SELECT * REPLACE (CASE WHEN decision LIKE 'answer%' THEN cand ELSE [] END AS cand) FROM r) " + _METRICS.format("s"))
@@ -390,21 +450,33 @@ def reliability_bins(spark, sf_dir):
     return _rounded(evaluate.reliability(rows)[0])
 
 
-@query("""WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_quantity < 10 THEN 'top1_hit' WHEN l_quantity < 15 THEN 'rejected_positive' WHEN l_quantity < 20 THEN 'wrong_ranking'
-  WHEN l_quantity < 30 THEN CASE WHEN l_returnflag = 'A' THEN 'house_not_parsed' ELSE 'house_mismatch' END WHEN l_linestatus = 'O' THEN 'wrong_object' ELSE 'street_not_found' END AS class FROM lineitem)
-SELECT class, count(*) AS n, array_to_string(list(id ORDER BY id)[1:10], ',') AS examples FROM r GROUP BY class""")
+@query(f"""WITH {_NAMES}, r AS (SELECT l_orderkey * 10 + l_linenumber AS id, CAST(l_partkey AS VARCHAR) AS label, l_quantity AS q, l_returnflag, l_partkey AS k, l_partkey // 2 AS g FROM lineitem),
+j AS (SELECT r.*, a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_name = b.p_name AS same FROM r LEFT JOIN part a ON a.p_partkey = r.k LEFT JOIN part b ON b.p_partkey = r.g),
+c AS (SELECT id, CASE WHEN q < 10 OR (q >= 20 AND k = g) THEN 'top1_hit' WHEN q < 15 THEN 'rejected_positive' WHEN q < 20 THEN CASE WHEN k = g THEN 'top1_hit' ELSE 'wrong_ranking' END
+  WHEN same THEN CASE WHEN l_returnflag = 'A' THEN 'house_not_parsed' ELSE 'house_mismatch' END WHEN l_returnflag = 'N' THEN 'wrong_object' ELSE 'street_not_found' END AS class FROM j)
+SELECT class, count(*) AS n, array_to_string(list(id ORDER BY id)[1:10], ',') AS examples FROM c GROUP BY class""")
 def error_classes(spark, sf_dir):
-    """Error classes of all line items as judged positives, with ten examples each."""
-    q, me = F.col("l_quantity"), F.lit("t")
-    made = F.when(q < 10, F.array(me)).when(q < 15, F.array().cast("array<string>")).when(q < 20, F.array(F.lit("a"), me)).otherwise(F.array(F.lit("a")))
-    d = table(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), made.alias("candidates"), me.alias("label"), (q < 30).alias("same_object"),
-        F.when(F.col("l_returnflag") == "A", F.lit(None)).otherwise(F.lit("1")).alias("parsed_house"), F.lit(False).alias("ambiguous"), (F.col("l_linestatus") == "O").alias("name_in_top3"),
+    """Error classes of all line items, whose first candidate is the part of half the key; objects and near names are looked up."""
+    q, me, half = F.col("l_quantity"), F.col("l_partkey").cast("string"), F.expr("l_partkey div 2").cast("string")
+    made = F.when(q < 10, F.array(me)).when(q < 15, F.array().cast("array<string>")).when(q < 20, F.array(half, me)).otherwise(F.array(half))
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    # an exact name is its own nearest; a text of other letters is near none
+    d = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), made.alias("candidates"), me.alias("label"), F.when(F.col("l_returnflag") == "N", F.lower("p_name")).otherwise("").alias("street_q"),
+        F.when(F.col("l_returnflag") == "A", F.lit(None)).otherwise(F.lit("1")).alias("parsed_house"), F.lit(False).alias("ambiguous"),
     )
-    rows = d.select("id", evaluate.positive_class().alias("class"), F.col("id").alias("seq"))
+    rows = evaluate.with_objects(d, catalogue(spark, sf_dir)).select("id", evaluate.positive_class().alias("class"), F.col("id").alias("seq"))
     return evaluate.class_examples(rows).select("class", "n", F.array_join(F.transform("examples", lambda x: x.cast("string")), ",").alias("examples"))
 
 
+@query("""SELECT CAST(a.p_partkey AS VARCHAR) AS id, a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_name = b.p_name AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey AS duplicate
+FROM part a JOIN part b ON b.p_partkey = a.p_partkey // 2""")
+def duplicate_entries(spark, sf_dir):
+    """Whether the entry found instead of a part's own reads the same."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("label"), F.array(F.expr("p_partkey div 2").cast("string")).alias("candidates"), F.lit("").alias("street_q"))
+    return evaluate.with_objects(rows, catalogue(spark, sf_dir)).select(F.col("label").alias("id"), "duplicate")
+
+
 @query(r"""SELECT conv_id, turn, CASE WHEN NOT regexp_matches(text, '[0-9]') AND NOT contains(text, 'the') THEN 'type1' ELSE 'type2' END AS kind FROM conversations""")
 def negative_kinds(spark, sf_dir):
     """P10: kind of a negative text."""
@@ -427,30 +499,47 @@ def top_names(spark, sf_dir):
     return d.groupBy(F.col("p_name").alias("name")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "name").limit(30)
 
 
-@query("""WITH r AS (SELECT o_orderkey % 4 AS k FROM orders) SELECT CAST(0 AS BIGINT) AS row_count_off, CAST(0 AS BIGINT) AS missing_fields, count(*) FILTER (k = 2) AS length_differs, count(*) FILTER (k = 3) AS too_many FROM r""")
+@query("""WITH r AS (SELECT o_orderkey % 4 AS k, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey END AS id FROM orders) SELECT abs(count(*) - (SELECT count(*) FROM lineitem)) AS row_count_off, count(*) FILTER (id IS NULL) AS missing_fields, count(*) FILTER (k = 2) AS length_differs, count(*) FILTER (k = 3) AS too_many FROM r""")
 def preds_validate(spark, sf_dir):
     """Broken rules of a predictions table."""
     k = F.col("o_orderkey") % 4
     ids = F.when(k == 3, F.array(*[F.lit(x) for x in "abcd"])).otherwise(F.array(F.lit("a"), F.lit("b")))
     scores = F.when(k == 3, F.array(*[F.lit(0.5)] * 4)).when(k == 2, F.array(F.lit(0.5))).otherwise(F.array(F.lit(0.5), F.lit(0.4)))
     orders = table(spark, sf_dir, "orders")
-    preds = orders.select(F.col("o_orderkey").cast("string").alias("id"), ids.alias("candidates"), scores.alias("scores"))
-    return evaluate.violations(preds, orders.count())
+    preds = orders.select(F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderkey").cast("string")).alias("id"), ids.alias("candidates"), scores.alias("scores"))
+    return evaluate.violations(preds, table(spark, sf_dir, "lineitem").count())
 
 
 @query(_EVAL + """ SELECT count(*) FILTER (decision LIKE 'answer%' AND NOT coalesce(cand[1] = label, false)) AS answer_errors,
 round(coalesce(count(*) FILTER (label IS NOT NULL AND decision LIKE 'answer%') / nullif(count(label), 0), 0), 6) AS coverage,
-round(coalesce(count(*) FILTER (label IS NULL AND len(cand) = 0) / nullif(count(*) FILTER (label IS NULL), 0), 1), 6) AS type2_reject_rate FROM r""")
+round(coalesce(count(*) FILTER (label IS NULL AND len(cand) = 0) / nullif(count(*) FILTER (label IS NULL), 0), 1), 6) AS type2_reject_rate,
+round(abs(count(*) FILTER (id % 3 = 0 AND cand[1] = label) / count(*) FILTER (id % 3 = 0 AND label IS NOT NULL) - count(*) FILTER (id % 3 <> 0 AND cand[1] = label) / count(*) FILTER (id % 3 <> 0 AND label IS NOT NULL)) * 100, 2) AS top1_gap_pp FROM r""")
 def training_gates(spark, sf_dir):
-    """Gates of a trained ranker."""
-    return _rounded(evaluate.gates(_judged(spark, sf_dir).withColumn("kind", F.lit("type2"))))
+    """Gates of a trained ranker, with the gap between training and validation rows."""
+    rows = _judged(spark, sf_dir).withColumn("kind", F.lit("type2")).withColumn("part", F.when(F.col("id") % 3 == 0, "val").otherwise("train"))
+    return _rounded(evaluate.gates(rows).crossJoin(evaluate.top1_gap(rows)))  # one row each
 
 
-@query("SELECT p_partkey, p_type = 'SMALL' AND p_size BETWEEN 5 AND 30 AS same FROM part")
+@query("""SELECT a.p_partkey, a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_name = b.p_name AS same
+FROM part a JOIN part b ON b.p_partkey = a.p_partkey // 2""")
 def predicates(spark, sf_dir):
-    """Scan-side predicates and object equality."""
+    """Whether each part and the part of half its key are one object."""
     p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", ((F.col("p_type") == "SMALL") & F.col("p_size").between(5, 30)).alias("same"))
+    row = F.struct(F.lower("p_brand").alias("city"), F.col("p_type").alias("street_type"), F.lower("p_name").alias("street"))
+    pairs = p.select("p_partkey", row.alias("a")).join(p.select(F.col("p_partkey").alias("k"), row.alias("b")), F.expr("k = p_partkey div 2"))
+    return pairs.select("p_partkey", evaluate.same_object("a", "b").alias("same"))
+
+
+@query("""WITH o AS (SELECT n_name AS name, CAST(o_orderkey % 9 AS VARCHAR) AS level, CAST(o_orderkey % 25 AS VARCHAR) AS region, o_orderkey % 4 <> 0 AND o_orderkey % 3 <> 0 AS live FROM orders JOIN nation ON n_nationkey = o_custkey % 25)
+SELECT count(*) FILTER (level = '8') AS streets, count(DISTINCT name) FILTER (level = '8') AS unique_names, count(*) FILTER (level IN ('5', '6')) AS settlements,
+count(DISTINCT name) FILTER (level IN ('5', '6')) AS unique_settlements, count(DISTINCT region) AS regions FROM o WHERE live""")
+def register_totals(spark, sf_dir):
+    """Statistics of a register, here every order as an object named after a nation."""
+    k = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "nation"), F.col("o_custkey") % 25 == F.col("n_nationkey"))
+    objects = orders.select((k % 25).cast("string").alias("region"), F.concat(F.lit(" "), F.col("n_name")).alias("name"), F.lit("t").alias("typename"), (k % 9).cast("string").alias("level"),
+                            F.when(k % 4 != 0, "1").otherwise("0").alias("isactual"), F.when(k % 3 != 0, "1").otherwise("0").alias("isactive"))
+    return files.register_statistics(objects)["totals"]
 
 
 @query("""WITH a AS (SELECT conv_id, list_sort(list_distinct(list(role))) AS roles FROM conversations GROUP BY 1)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.evaluate import violations
+from ..operators.evaluate import half_coverage, violations
 from ..operators.score import ManualRanker, TrainedRanker
 from ..schema import DICTIONARY, MODEL, PREDICTION, REQUEST
 
@@ -50,6 +50,20 @@ def load_ranker(spark: SparkSession, path: str | None) -> tuple[ManualRanker | T
         return ManualRanker(), f"trained ranker not loaded: {str(problem).splitlines()[0][:200]}"
 
 
+def choose_ranker(spark: SparkSession, ranker=None, path: str | None = None) -> tuple[ManualRanker | TrainedRanker, str | None]:
+    """Ranker by name, and a warning: None or "manual", "logreg" (of the model file, the manual one if it can't be used), or a ranker as it is.
+
+    Another name raises, so that no request is answered by a ranker that nobody asked for.
+    """
+    if ranker is None or ranker == "manual":
+        return ManualRanker(), None
+    if ranker == "logreg":
+        return load_ranker(spark, path) if path else (ManualRanker(), "trained ranker not loaded: no model file is named")
+    if isinstance(ranker, str):
+        raise ValueError(f"unknown ranker {ranker!r}: expected manual, logreg or a ranker")
+    return ranker, None
+
+
 def save_model(spark: SparkSession, model: dict, path: str) -> None:
     """Model document as one JSON file in a folder."""
     text = json.dumps(model, ensure_ascii=False, indent=2)
@@ -78,17 +92,28 @@ def metrics_line(metrics: DataFrame) -> str:
 
 
 def reliability_lines(table: DataFrame, worst: DataFrame) -> str:
-    """Tab-separated reliability table; at most ten bins for each of a handful of strata."""
+    """Tab-separated reliability table, each stratum's largest deviation and the largest of all; at most ten bins for each of a handful of strata."""
+    most = worst.agg(F.coalesce(F.max("max_dev"), F.lit(0.0))).first()[0]
     rows = [f"{r.stratum}\t{r.bin}\t{r.n}\t{r.mean_pred:.4f}\t{r.frac_pos:.4f}\t{r.abs_dev:.4f}" for r in table.orderBy("stratum", "bin").collect()]
-    return "\n".join(["stratum\tbin\tn\tmean_pred\tfrac_pos\tabs_dev", *rows, *(f"MAX\t{r.stratum}\t{r.max_dev:.4f}" for r in worst.orderBy("stratum").collect())])
+    return "\n".join(["stratum\tbin\tn\tmean_pred\tfrac_pos\tabs_dev", *rows, *(f"MAX\t{r.stratum}\t{r.max_dev:.4f}" for r in worst.orderBy("stratum").collect()), f"GLOBAL_MAX_DEV\t{most:.4f}"])
+
 
+def report_markdown(counts: DataFrame, classes: DataFrame, examples: DataFrame | None = None) -> str:
+    """Error report from small aggregates: decision counts, then classes with examples.
 
-def report_markdown(counts: DataFrame, classes: DataFrame) -> str:
-    """Error report from small aggregates: decision counts, then classes with examples."""
+    ``examples`` (class, id, raw, etalon, got, decision, p, duplicate), a few rows a
+    class, are shown as a table under their class, duplicates of the dictionary marked.
+    """
+    shown: dict[str, list] = {}
+    for r in examples.orderBy("class", "id").collect() if examples is not None else ():
+        note = "duplicate entry" if r.duplicate else ""
+        shown.setdefault(r["class"], []).append(f"| {r.id} | {r.raw} | {r.etalon or ''} | {r.got or ''} | {r.decision} | {'' if r.p is None else f'{r.p:.3f}'} | {note} |")
     lines = ["# Errors", "", "| decision | positive | negative |", "|---|---|---|"]
     lines += [f"| {r.decision} | {r.positive} | {r.negative} |" for r in counts.orderBy("decision").collect()]
     for r in classes.orderBy(F.desc("n"), "class").collect():
         lines += ["", f"## {r['class']} ({r.n})", "", *(f"- {x}" for x in r.examples)]
+        if r["class"] in shown:
+            lines += ["", "| id | text | entry | found | decision | p | note |", "|---|---|---|---|---|---|---|", *shown[r["class"]]]
     return "\n".join(lines) + "\n"
 
 
@@ -123,6 +148,22 @@ def read_register(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(_members, "region string, " + ", ".join(f"{f.lower()} string" for f in OBJECT_FIELDS))
 
 
+def register_document(statistics: dict[str, DataFrame], half: DataFrame) -> dict:
+    """Statistics of a register as one document; ``half`` is :func:`half_coverage` of the name counts.  Collects totals, the
+    most frequent names, types, levels and regions: small tables all."""
+    totals = statistics["totals"].first().asDict()
+    pairs = {k: [list(r) for r in statistics[k].orderBy(F.desc("c"), statistics[k].columns[0]).collect()] for k in ("names", "types", "levels", "regions")}
+    return totals | pairs | {"names_for_half": half.first()["names_for_half"]}
+
+
+def write_register_statistics(objects: DataFrame, path: str, most: int = 30) -> dict:
+    """:func:`register_document` of a register, written as one JSON file in a folder."""
+    found = register_statistics(objects, most)
+    document = register_document(found, half_coverage(found["name_counts"]))
+    save_model(objects.sparkSession, document, path)
+    return document
+
+
 def register_statistics(objects: DataFrame, most: int = 30) -> dict[str, DataFrame]:
     """Counts of current streets (level 8) and settlements (levels 5 and 6), by name, type and region."""
     current = objects.filter("isactual = '1' AND isactive = '1'").withColumn("name", F.lower(F.trim("name")))

@@ -150,3 +150,38 @@ def test_dialogue_and_stream(spark, tmp_path):
     source = spark.readStream.schema(asked.drop("label").schema).parquet(str(tmp_path / "in"))
     answer_stream(source, look, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).first().decision == "ask_house"
+
+
+def test_rankers_are_chosen_by_name(spark, tmp_path):
+    own = score.ManualRanker()
+    assert files.choose_ranker(spark, own) == (own, None)
+    for name in (None, "manual"):
+        ranker, warning = files.choose_ranker(spark, name)
+        assert isinstance(ranker, score.ManualRanker) and warning is None
+    ranker, warning = files.choose_ranker(spark, "logreg", str(tmp_path / "none.json"))
+    assert isinstance(ranker, score.ManualRanker) and "not loaded" in warning
+    with pytest.raises(ValueError, match="unknown ranker 'best'"):
+        files.choose_ranker(spark, "best")
+
+
+def test_reports_and_register_document(spark, tmp_path):
+    rows = spark.createDataFrame([("s", k / 40, float(k % 2)) for k in range(40)] + [("t", 0.95, 0.0)] * 12, "stratum string, p double, y double")
+    lines = files.reliability_lines(*evaluate.reliability(rows)).splitlines()
+    assert lines[-1] == "GLOBAL_MAX_DEV\t0.9500"
+    objects = spark.createDataFrame([("01", f" {n} ", "ул", "8", "1", "1") for n in "aaab"] + [("02", "c", "г", "5", "1", "1"), ("02", "d", "ул", "8", "0", "1")], "region string, name string, typename string, level string, isactual string, isactive string")
+    made = files.write_register_statistics(objects, str(tmp_path / "out"))
+    assert made["streets"] == 4 and made["unique_names"] == 2 and made["settlements"] == 1 and made["names_for_half"] == 1 and made["names"][0] == ["a", 3]
+    [part] = list((tmp_path / "out").glob("part-*"))
+    assert json.loads(part.read_text()) == json.loads(json.dumps(made))
+    classes = spark.createDataFrame([("wrong_object", 1, ["7"])], "class string, n long, examples array<string>")
+    counts = spark.createDataFrame([("answer", 1, 0)], "decision string, positive long, negative long")
+    shown = spark.createDataFrame([("wrong_object", "7", "raw", "A, t s, 1", "A, t s, 1", "answer", 0.5, True)], "class string, id string, raw string, etalon string, got string, decision string, p double, duplicate boolean")
+    report = files.report_markdown(counts, classes, shown)
+    assert "| 7 | raw | A, t s, 1 | A, t s, 1 | answer | 0.500 | duplicate entry |" in report
+
+
+def test_top1_gap_and_verdict(spark):
+    rows = spark.createDataFrame([("train", ["a"], "a"), ("train", ["b"], "a"), ("val", ["a"], "a"), ("val", [], None)], "part string, candidates array<string>, label string")
+    assert evaluate.top1_gap(rows).first().top1_gap_pp == 50.0
+    good = {"answer_errors": 3, "coverage": 0.75, "type2_reject_rate": 0.85}
+    assert evaluate.meets_gates(good, 0.1, 5.0) and not evaluate.meets_gates(good, 0.11, 5.0) and not evaluate.meets_gates(good | {"answer_errors": 4}, 0.1, 5.0)
