@@ -123,6 +123,14 @@ def net(x: np.ndarray, radius: float, chunk: int = 512) -> np.ndarray:
     return owner
 
 
+def _scattered(x: np.ndarray, radius: float, probe: int = 512) -> bool:
+    """Whether a net would hardly join vectors, by a probe of many; then each vector is a node of its own, which costs pruning but no link."""
+    if len(x) <= 2 * probe:
+        return False
+    some = x[:: len(x) // probe]
+    return len(np.unique(net(some, radius))) > 0.95 * len(some)
+
+
 class Tree:
     """Nested nets over a block's vectors, which are reordered so that nodes are ranges."""
 
@@ -134,7 +142,7 @@ class Tree:
         for radius in radii:
             path, below = np.zeros(len(ids), np.int64), []
             for rows in groups:
-                owner = net(x[rows], radius) if len(rows) > 1 else np.zeros(len(rows), np.int64)
+                owner = net(x[rows], radius) if len(rows) > 1 and not _scattered(x[rows], radius) else np.arange(len(rows))
                 path[rows] = rows[owner]
                 if len(rows) > 1:
                     by = np.argsort(owner, kind="stable")
@@ -211,8 +219,11 @@ class Links:
                 for t in range(int(b0[k]), int(b1[k]), 2048):
                     i, j = slice(s, min(s + 256, int(a1[k]))), slice(t, min(t + 2048, int(b1[k])))
                     dots = left[2][i] @ right[2][j].T
-                    cut = left[3][i, None] + right[3][None, j] + self.reach + SLACK
-                    x, y = np.nonzero(dots >= 1 - cut * cut / 2)
+                    if left[3][i].any() or right[3][j].any():
+                        cut = left[3][i, None] + right[3][None, j] + self.reach + SLACK
+                        x, y = np.nonzero(dots >= 1 - cut * cut / 2)
+                    else:
+                        x, y = np.nonzero(dots >= 1 - (self.reach + SLACK) ** 2 / 2)
                     self._decide(level, x + s, y + t, dots[x, y])
         small = np.flatnonzero(many <= 4096)
         total = np.cumsum(many[small])
