@@ -66,7 +66,7 @@ IPV4 = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)")
 ACCESS_KEY = re.compile(r"(?<!\w)(AKIA|ASIA)([A-Z0-9]{16})(?!\w)")
 SECRET = re.compile(r"(?i)(?<!\w)(?:password|passwd|pwd|secret|token|api[_-]?key)(?!\w)[\"']?\s*[:=]\s*[\"']?([\w+/=.~-]{6,})")
 IBAN = re.compile(r"(?<!\w)([A-Z]{2})([0-9]{2})((?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)")
-MAIL_LEFT, MAIL_RIGHT = re.compile(r"[\w.+%-]*$"), re.compile(r"(?:[\w-]+\.)+[A-Za-z]{2,}")
+MAIL_SIGNS, MAIL_RIGHT = "_.+%-", re.compile(r"(?:[\w-]+\.)+[A-Za-z]{2,}")
 _PARTICLE = "|".join(sorted(PARTICLES, key=len, reverse=True))
 TITLED = re.compile(rf"(?<!\w)(?:(?:{_TITLE})\.?\s+)+((?:[^\W\d_]\.\s*)*(?:(?:{_PARTICLE})\s+)*({_WORD}))(?:\s+(?!(?:{_TITLE})(?!\w))({_WORD}))?")
 NAMED = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(NAMES, key=len, reverse=True)))})(?= )")
@@ -335,14 +335,17 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     word of their names stands in the same text.
     """
     found: list[tuple[int, int, str]] = []
-    at = text.find("@")
+    at, floor = text.find("@"), 0
     while at >= 0:
-        left = MAIL_LEFT.search(text, max(0, at - 64), at)
+        start = at  # of a local part of any length, but not over another @, so each character is looked at once
+        while start > floor and (text[start - 1].isalnum() or text[start - 1] in MAIL_SIGNS):
+            start -= 1
+        while start < at and text[start] == ".":
+            start += 1
         right = MAIL_RIGHT.match(text, at + 1)
-        if left and left[0].strip(".") and right and movable(left[0] + right[0].rpartition(".")[0] * (not _reserved(right[0].lower()))):
-            start = at - len(left[0].lstrip("."))
+        if start < at and right and movable(text[start:at] + right[0].rpartition(".")[0] * (not _reserved(right[0].lower()))):
             found.append((start, right.end(), "email"))
-        at = text.find("@", at + 1)
+        at, floor = text.find("@", at + 1), at + 1
     low = any(c in text for c in "0123456789")
     if low:
         found += [(*m.span(), "ip") for m in IPV4.finditer(text) if all(int(o) < 256 for o in m[0].split("."))]

@@ -397,6 +397,13 @@ def test_surrogates_follow_a_person_through_the_text():
     assert surrogates.rewrite("Smith and Anna met", p)[0] == "Smith and Anna met"
 
 
+def test_surrogates_long_mail_names():
+    p = surrogates.Permutation(b"key")
+    local = "first.last" * 20
+    out = surrogates.rewrite(f"write to {local}@firm.org, .a@b.org or @x.org", p)
+    assert [(e - s, k) for s, e, k in out[1]] == [(len(local) + 9, "email"), (7, "email")] and "first" not in out[0] and out[0].endswith("or @x.org")
+
+
 def test_surrogates_raise_on_what_still_collides(spark, monkeypatch):
     monkeypatch.setitem(surrogates.KINDS, "person", lambda p, text: "Same")
     with pytest.raises(ValueError, match="person"):
