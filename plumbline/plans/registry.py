@@ -335,7 +335,7 @@ def _ranked_parts(spark, sf_dir) -> DataFrame:
     )
     r = rules.ranked(d)
     return s.select(F.col("s_suppkey").alias("id"), "s_nationkey").join(r, "id", "left").select(
-        "id", "r", F.when(F.col("s_nationkey") % 3 == 0, "resolved").otherwise("none").alias("status"), (F.col("s_nationkey") % 5 != 0).alias("has_cues"),
+        "id", "r", "freq_median", F.when(F.col("s_nationkey") % 3 == 0, "resolved").otherwise("none").alias("status"), (F.col("s_nationkey") % 5 != 0).alias("has_cues"),
         F.lit(False).alias("ambiguous"), F.when(F.col("s_nationkey") % 10 == 0, "house").alias("asked_slot"), F.lit("7").alias("house_norm"),
     )
 
