@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import io
 import json
 import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +29,9 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """Dictionary lines with ``seq``, their order in the file."""
-    return read_lines(spark, path, DICTIONARY).withColumn("seq", F.monotonically_increasing_id())
+    """Dictionary lines with ``seq``, their order: by file name, place in the file, and line there, in however many splits they are read."""
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    return read_lines(spark, path, DICTIONARY).withColumn("seq", place)
 
 
 def read_requests(spark: SparkSession, path: str, channel: str | None = None) -> DataFrame:
@@ -117,25 +119,44 @@ def report_markdown(counts: DataFrame, classes: DataFrame, examples: DataFrame |
     return "\n".join(lines) + "\n"
 
 
+def _opened(uri: str) -> zipfile.ZipFile:
+    """Archive at a path as Spark names it, read by ranges from its file system."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        system, path = LocalFileSystem(), unquote("/" + rest.lstrip("/"))
+    else:
+        system, path = FileSystem.from_uri(uri)
+    return zipfile.ZipFile(system.open_input_file(path))
+
+
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Objects of the matching members of each archive, read as a stream."""
+    """(path, member) of the register files that each archive lists."""
     for batch in batches:
-        for content in batch.column("content"):
-            with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as archive:
-                for name in archive.namelist():
-                    if not (m := MEMBER.match(name)):
+        for path in batch.column("path").to_pylist():
+            with _opened(path) as archive:
+                names = [n for n in archive.namelist() if MEMBER.match(n)]
+            yield pa.RecordBatch.from_arrays([pa.array([path] * len(names), pa.string()), pa.array(names, pa.string())], ["path", "member"])
+
+
+def _objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Objects of each member, parsed as a stream."""
+    for batch in batches:
+        for path, name in zip(batch.column("path").to_pylist(), batch.column("member").to_pylist(), strict=True):
+            region, rows = MEMBER.match(name)[1], []
+            with _opened(path) as archive, archive.open(name) as member:
+                steps = ET.iterparse(member, events=("start", "end"))
+                _, root = next(steps)
+                for event, element in steps:
+                    if event == "start":
                         continue
-                    rows: list[tuple] = []
-                    with archive.open(name) as member:
-                        for _, element in ET.iterparse(member, events=("end",)):
-                            if element.tag == "OBJECT":
-                                rows.append((m[1], *(element.attrib.get(f) for f in OBJECT_FIELDS)))
-                            element.clear()
-                            if len(rows) == XML_ROWS:
-                                yield _batch(rows)
-                                rows = []
-                    if rows:
+                    if element.tag == "OBJECT":
+                        rows.append((region, *(element.attrib.get(f) for f in OBJECT_FIELDS)))
+                    root.clear()  # the parsed part, which would grow with the member
+                    if len(rows) == XML_ROWS:
                         yield _batch(rows)
+                        rows = []
+            if rows:
+                yield _batch(rows)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -143,9 +164,15 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_register(spark: SparkSession, path: str) -> DataFrame:
-    """(region, name, typename, level, isactual, isactive) of XML registers inside zip archives."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_members, "region string, " + ", ".join(f"{f.lower()} string" for f in OBJECT_FIELDS))
+    """(region, name, typename, level, isactual, isactive) of XML registers inside zip archives of any size.
+
+    Archives are listed first; each member is then a row of its own, dealt to
+    tasks by hash and read as a stream, so neither an archive nor a member is
+    held whole.
+    """
+    archives = spark.read.format("binaryFile").load(path).select("path")  # the contents are not read
+    listed = archives.mapInArrow(_members, "path string, member string")
+    return listed.repartition("path", "member").mapInArrow(_objects, "region string, " + ", ".join(f"{f.lower()} string" for f in OBJECT_FIELDS))
 
 
 def register_document(statistics: dict[str, DataFrame], half: DataFrame) -> dict:

@@ -7,8 +7,9 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import dialog, evaluate, score, search, train
+from plumbline.operators import dialog, dims, evaluate, score, search, train
 from plumbline.operators.dims import build
+from plumbline.plans import batch
 from plumbline.plans.lookup import Lookup
 from plumbline.sources import files
 from plumbline.streaming.lookups import answer_stream
@@ -134,6 +135,33 @@ def test_register(spark, tmp_path):
     assert (totals.streets, totals.settlements, totals.regions) == (8, 8, 1)
 
 
+def test_register_members_are_rows_of_their_own(spark, tmp_path):
+    for archive in ("a b.zip", "c.zip"):
+        with zipfile.ZipFile(tmp_path / archive, "w") as z:
+            for region in ("01", "02"):
+                z.writestr(f"{region}/AS_ADDR_OBJ_20240101_x.XML", "<A>" + f'<OBJECT NAME="{archive}"/>' * 5001 + "</A>")
+    found = files.read_register(spark, str(tmp_path / "*.zip")).groupBy("region", "name").count().collect()
+    assert sorted(map(tuple, found)) == [(r, a, 5001) for r in ("01", "02") for a in ("a b.zip", "c.zip")]
+
+
+def test_number_rows_and_rank_in_parts(spark):
+    rows = spark.createDataFrame([(f"{(k * 7919) % 1000:03}",) for k in range(1000)], "name string").repartition(7)
+    assert [(r.n, r.name) for r in dims.number_rows(rows, "name", "n").orderBy("n").collect()] == [(k, f"{k:03}") for k in range(1000)]
+    assert dims.number_rows(rows.filter("false"), "name", "n").count() == 0
+
+
+def test_evaluate_files(spark, tmp_path):
+    entries = [{"etalon_id": f"e{k}", "city": "Алматы", "street_type": "улица", "street": s, "house": "1"} for k, s in enumerate(["Мира", "Абая", "Сатпаева"])]
+    entries.append(entries[0] | {"etalon_id": "e9"})
+    asked = [{"id": "1", "channel": "webchat", "city": "Алматы", "raw_adress": "улица Мира 1", "etalon_id": "e9"}, {"id": "2", "channel": "webchat", "raw_adress": "", "etalon_id": None}, {"id": "3", "channel": "voice", "raw_adress": "спасибо"}]
+    for name, lines in (("d", entries), ("r", asked)):
+        (tmp_path / name).write_text("\n".join(json.dumps(x, ensure_ascii=False) for x in lines), encoding="utf-8")
+    got = json.loads(batch.evaluate_files(spark, str(tmp_path / "r"), str(tmp_path / "d"), str(tmp_path / "p")))
+    assert len(got) == 9 and (got["n"], got["top1"], got["reject_recall"]) == (3, 1.0, 1.0) and got["ms_per_request_p50"] > 0
+    assert files.check_predictions(spark, str(tmp_path / "p"), 3) == "OK 3"
+    assert json.loads(batch.evaluate_files(spark, str(tmp_path / "r"), str(tmp_path / "d"), channel="voice"))["n"] == 1
+
+
 def test_dialogue_and_stream(spark, tmp_path):
     look = Lookup(spark.createDataFrame([("s60", "Москва", "улица", "Мира", "60", 0)], DICT))
     asked = spark.createDataFrame([("1", "voice", "мира", "Москва", "s60")], "id string, channel string, raw string, slot_city_text string, label string")
