@@ -73,6 +73,11 @@ def read_frames(stream) -> Iterator[tuple[int, bytes]]:
         at += 16 + size
 
 
+def _strings(values: pa.Array) -> list[str]:
+    """The texts of an array without nulls; by way of numpy, which makes no scalar of each."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 class ChunkEncoder:
     """Ids of whole texts, with repeated chunks encoded once per batch.
 
@@ -142,7 +147,7 @@ class ChunkEncoder:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts end to end, and the number of each text's."""
         if not self.by_chunk:
-            return self._encode(texts.to_pylist())
+            return self._encode(_strings(texts))
         cut = pc.split_pattern(texts, " ")
         starts = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
         chunks = cut.flatten().dictionary_encode()
@@ -153,11 +158,11 @@ class ChunkEncoder:
         alone = np.flatnonzero(whole)
         parts = pc.extract_regex(names, PLAIN_CHUNK)
         plain = pc.is_valid(parts).to_numpy(zero_copy_only=False) & ~bad
-        word_ids, word_sizes = self._encode_words(*(parts.field(k).filter(pa.array(plain)).to_pylist() for k in (0, 1)))
-        other_ids, other_sizes = self._encode_chunks(names.filter(pa.array(~plain & ~bad)).to_pylist())
+        word_ids, word_sizes = self._encode_words(*(_strings(parts.field(k).filter(pa.array(plain))) for k in (0, 1)))
+        other_ids, other_sizes = self._encode_chunks(_strings(names.filter(pa.array(~plain & ~bad))))
         heads = names.take(pa.array(code[starts[~whole]])).dictionary_encode()
-        head_ids, head_sizes = self._encode(heads.dictionary.to_pylist())
-        own_ids, own_sizes = self._encode(texts.take(pa.array(alone)).to_pylist())
+        head_ids, head_sizes = self._encode(_strings(heads.dictionary))
+        own_ids, own_sizes = self._encode(_strings(texts.take(pa.array(alone))))
         # one list of ids per plain chunk, other chunk, opening chunk and whole text
         lists = np.concatenate((word_sizes, other_sizes, head_sizes, own_sizes)).astype(np.int32)
         offsets = pa.array(np.concatenate(([0], np.cumsum(lists))).astype(np.int32))
